@@ -5,14 +5,14 @@ and once more with the fraction that is left. The cube method settles the fracti
 documents move along the null-space of the constraints (sum of probabilities, sum of words), up or down at random so
 that each document's expectation holds, until some reach 0 or 1. Two constraints leave at most two documents of a group
 open. Groups are buckets of bounded size within a source; what they leave open meets in fewer buckets, and so
-on, until one group per source is left, where the last one or two documents are settled (the landing).
+on, until one group per source is left, where a dozen documents are settled together (the landing).
 """
 
 from __future__ import annotations
 
-import itertools
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,6 +23,8 @@ from pixelweave.llm.common import WORD, cut, table
 WEIGHTS, MOST = (5, 2, 1), 3
 #: Documents of a group that is settled at once.
 GROUP = 4096
+#: Documents of a source that the landing settles beside the one or two that flights leave.
+LAST = 12
 TINY = 1e-9
 
 
@@ -65,14 +67,27 @@ def flight(p: list[float], size: list[float], seed: int) -> list[float]:
 
 
 def landing(p: list[float], size: list[float], seed: int) -> list[float]:
-    """Settles what a flight has left: of the outcomes of the last one or two documents, the one that keeps the words best."""
-    goal = sum(x * s for x, s in zip(p, size))
-    p = flight(p, size, seed)
-    held = [i for i, x in enumerate(p) if 0 < x < 1]
-    have = sum(x * s for x, s in zip(p, size) if x == 1)
-    outcomes = itertools.product((0.0, 1.0), repeat=len(held))
-    best = min(outcomes, key=lambda o: (abs(have + sum(x * size[i] for x, i in zip(o, held)) - goal), -sum(o)))
-    for i, x in zip(held, best):
+    """Settles a source's last group.
+
+    ``LAST`` documents, evenly spread over the sizes, wait while the others fly; they and the one or two that the flight
+    leaves make the landing problem: of all outcomes, the one that keeps the words best, then the count.
+    """
+    n = len(p)
+    wait = sorted({round((k + 0.5) * n / LAST - 0.5) for k in range(min(LAST, n))}) if n else []
+    waiting = set(wait)
+    rest = [i for i in range(n) if i not in waiting]
+    goal, count = sum(x * s for x, s in zip(p, size)), sum(p)
+    flown = flight([p[i] for i in rest], [size[i] for i in rest], seed)
+    p = list(p)
+    for i, x in zip(rest, flown):
+        p[i] = x
+    held = [i for i in range(n) if (i in waiting or 0 < p[i] < 1) and TINY < p[i] < 1 - TINY]
+    p = [x if i in held else float(round(x)) for i, x in enumerate(p)]
+    have, taken = sum(x * s for x, s in zip(p, size) if x == 1), p.count(1.0)
+    outcomes = (np.arange(1 << len(held))[:, None] >> np.arange(len(held)) & 1).astype(np.float64)
+    words = np.abs(have + outcomes @ np.array([size[i] for i in held]) - goal)
+    best = outcomes[np.lexsort((np.abs(taken + outcomes.sum(axis=1) - count), words))[0]]
+    for i, x in zip(held, best.tolist()):
         p[i] = x
     return p
 
