@@ -9,12 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from pixelweave.llm.bpe import op6_byte_bpe
+    from pixelweave.llm.chat import op8_chat_format
+    from pixelweave.llm.fingerprint import op5_fingerprint
     from pixelweave.llm.licenses import op9_license_scan
     from pixelweave.llm.mixing import op10_source_mixing
 
-    found = (op6_byte_bpe, op9_license_scan, op10_source_mixing)
+    found = (op5_fingerprint, op6_byte_bpe, op8_chat_format, op9_license_scan, op10_source_mixing)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from pixelweave.llm.chat import ORACLE
+
+    return {"op8_chat_format": ORACLE}
