@@ -13,8 +13,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from pixelweave.llm.fingerprint import op5_fingerprint
     from pixelweave.llm.licenses import op9_license_scan
     from pixelweave.llm.mixing import op10_source_mixing
+    from pixelweave.llm.simhash import op1_simhash
 
-    found = (op5_fingerprint, op6_byte_bpe, op8_chat_format, op9_license_scan, op10_source_mixing)
+    found = (op1_simhash, op5_fingerprint, op6_byte_bpe, op8_chat_format, op9_license_scan, op10_source_mixing)
     return {f.__name__: f for f in found}
 
 
