@@ -250,11 +250,11 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def encoded(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", ids: bool = True) -> DataFrame:
+def encoded(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", ids: bool = True, decoded: bool = True) -> DataFrame:
     """Encodes every whole text, and decodes the ids again.
 
     Returns one row per input row: the id column, n_tokens, ids_sha256, decoded_sha256 and, with ``ids``,
-    token_ids and decoded (binary). A null text is an empty one: no ids, the digests of nothing. Repeated rows give
+    token_ids and, with ``decoded`` too, decoded (binary). A null text is an empty one: no ids, the digests of nothing. Repeated rows give
     repeated results; other columns aren't returned, so their names can't clash. Texts are cut into blocks
     of whole documents, whose size bounds memory; pieces of any length are merged in n log n.
     ``path`` is a file of ranks (default: that of public_tokenizers, looked up on each worker).
@@ -262,7 +262,7 @@ def encoded(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", te
     key = docs.schema[id_col].dataType
     given = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     fields = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
-    fields += [("token_ids", pa.list_(pa.int64())), ("decoded", pa.binary())] if ids else []
+    fields += [("token_ids", pa.list_(pa.int32()))] * ids + [("decoded", pa.binary())] * (ids and decoded)
 
     def work(columns: list[pa.Array]) -> list:
         own = codec(path or public_tokenizers.path(RANKS))
@@ -280,13 +280,15 @@ def encoded(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", te
             [hashlib.sha256(plain[a:b]).hexdigest() for a, b in parts],
         ]
         if ids:
-            result += [[out[a:b].astype(np.int64) for a, b in spans], [bytes(plain[a:b]) for a, b in parts]]
+            result.append(pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(out.view(np.int32))))
+            if decoded:
+                result.append([bytes(plain[a:b]) for a, b in parts])
         return result
 
     from pyspark.sql.pandas.types import to_arrow_type
 
     schema = pa.schema([("id", to_arrow_type(key)), *fields])
-    kinds = "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", token_ids array<long>, decoded binary" if ids else "")
+    kinds = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * ids + ", decoded binary" * (ids and decoded)
     return given.mapInArrow(in_blocks(work, schema, weigh=1), f"id {key.simpleString()}, {kinds}").withColumnRenamed("id", id_col)
 
 

@@ -18,16 +18,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``checkpoint()`` into the folder that the session names in spark.checkpoint.dir.
-
-    Only where no such folder is set (tests on one machine) a temporary one is made.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir; only where none is set (tests on one machine) a temporary one."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint")
-        )
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint"))
+    return context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``checkpoint()`` into the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -77,3 +78,16 @@ def held_out(doc_id: str = "doc_id") -> Column:
     A null id counts as the empty text, and so isn't held out.
     """
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 3 == 1
+
+
+def filtered(docs: DataFrame, text_col: str, keep: Callable[[list[str]], list[bool]]) -> DataFrame:
+    """The rows of ``docs`` whose text ``keep`` says yes to, with all columns; a null text is an empty one."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1000):
+                part = batch.slice(start, 1000)
+                yield part.filter(pa.array(keep([x or "" for x in part.column(at).to_pylist()]), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

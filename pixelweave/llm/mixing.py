@@ -187,6 +187,24 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     )
 
 
+def resampled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """Each row of ``docs`` as many times as the mix takes it, with all columns.
+
+    Rows that share an id and a source meet their numbers of copies in order of their sizes.
+    """
+    taken = cut(mixed(docs, id_col, text_col, source_col).select(F.col(id_col).alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copies").alias("_copies")))
+    same = F.col("_id").eqNullSafe(F.col(id_col)) & F.col("_source").eqNullSafe(F.col(source_col).cast("string"))
+    rows = docs
+    if taken.groupBy("_id", "_source").count().where("count > 1").limit(1).count():
+        turn = Window.partitionBy("_id", "_source").orderBy("_size", "_copies")
+        taken = taken.withColumn("_turn", F.row_number().over(turn))
+        size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0))
+        rows = docs.withColumn("_n", F.row_number().over(Window.partitionBy(id_col, source_col).orderBy(size)))
+        same = same & (F.col("_n") == F.col("_turn"))
+    rows = rows.join(taken, same).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    return rows.select(docs.columns)
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents."""
     return mixed(table(spark, sf_dir, "documents"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from pixelweave.llm.common import held_out, in_blocks, table
+from pixelweave.llm.common import filtered, held_out, in_blocks, table
 from pixelweave.llm.labelled import SAMPLE, labelled_sample
 
 #: Size of vectors, entries of an index vector other than 0, units of the hidden layer.
@@ -169,6 +169,13 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return given.mapInArrow(in_blocks(work, schema, weigh=1), "doc_id long, score double, predicted int").withColumnRenamed("doc_id", id_col)
 
 
+def kept(docs: DataFrame, labels: DataFrame, text_col: str = "text", most: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs`` that score ``LIMIT`` or more, with all columns. A classifier that can't be fitted keeps all."""
+    model = Model(labelled_sample(docs, labels, "quality", most))
+    model.cache.clear()
+    return filtered(docs, text_col, lambda texts: [model.net is None or x >= LIMIT for x in model.scores(texts)])
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of documents."""
     return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", held_out().alias("held_out"), "score", "predicted")

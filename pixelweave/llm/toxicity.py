@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweave.llm.common import held_out, in_blocks, table
+from pixelweave.llm.common import filtered, held_out, in_blocks, table
 from pixelweave.llm.labelled import SAMPLE, labelled_sample
 
 #: Terms of the vocabulary at most, bytes of beginnings, neighbours that vote, examples of a block.
@@ -173,6 +173,12 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return given.mapInArrow(in_blocks(work, schema, weigh=1), kinds).withColumnRenamed("doc_id", id_col)
 
 
+def kept(docs: DataFrame, labels: DataFrame, text_col: str = "text", most: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs`` that score less than ``LIMIT``, with all columns."""
+    model = Model(labelled_sample(docs, labels, "toxic", most))
+    return filtered(docs, text_col, lambda texts: [model.score(x)[0] < LIMIT for x in texts])
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of documents."""
     found = scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
