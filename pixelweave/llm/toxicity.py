@@ -52,18 +52,18 @@ class Model:
     """Vocabulary and block-max index of the examples (id, text, label)."""
 
     def __init__(self, examples: list[tuple[int, str, int]]):
-        counts = [Counter(words_of(text)) for _, text, _ in examples]
         labels = np.array([y for _, _, y in examples], float)
         # copies of one example count once: those whose least five-word shingle is the same
-        groups: dict[tuple[int, float], set[bytes]] = {}
-        for (_, text, _), own, y in zip(examples, counts, labels):
-            groups.setdefault((least_shingle(text), y), set()).update(t for w in own for t in terms_of(w))
+        known: set[tuple[int, float]] = set()
         seen, hits = Counter(), Counter()
-        for (_, y), terms in groups.items():
-            seen.update(terms)
-            if y:
-                hits.update(terms)
-        n, toxic = len(groups), float(sum(y for _, y in groups))
+        for (_, text, _), y in zip(examples, labels):
+            if (group := (least_shingle(text), y)) not in known:
+                known.add(group)
+                terms = {t for w in set(words_of(text)) for t in terms_of(w)}
+                seen.update(terms)
+                if y:
+                    hits.update(terms)
+        n, toxic = len(known), float(sum(y for _, y in known))
         rate = (toxic + 0.5) / (n + 1)
         scored = []
         for term, k in hits.items():
@@ -78,7 +78,9 @@ class Model:
         self.terms = {term: i for i, term in enumerate(sorted(chosen))}
         self.idf = np.array([1 + math.log((n + 1) / (seen[t] + 1)) for t in sorted(chosen)])
         self.cache: dict[bytes, tuple[int, ...]] = {}
-        rows = [self.vector(own) for own in counts]
+        del hits, known
+        rows = [self.vector(Counter(words_of(text))) for _, text, _ in examples]
+        self.cache.clear()
         kept = [i for i, (at, _) in enumerate(rows) if len(at)]
         bare = [i for i, (at, _) in enumerate(rows) if not len(at)]
         self.none = float((labels[bare].sum() + 0.5) / (len(bare) + 1)) if n else 0.0
