@@ -53,19 +53,19 @@ class Model:
     """Vectors of words and forms, and the network."""
 
     def __init__(self, examples: list[tuple[int, str, int]], seed: int = 3):
-        texts = [x[1].split() for x in examples]
         words, forms = Counter(), Counter()
-        for own in texts:
-            words.update(own)
+        for _, text, _ in examples:  # split again where needed: words take many times the memory of texts
+            words.update(text.split())
         for word, n in words.items():
             forms[form_of(word)] += n
         pick = lambda c, most: [w for w, n in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:most] if n > 1]
         self.words = {w: i + 1 for i, w in enumerate(pick(words, WORDS))}
         self.forms = {w: i + 1 for i, w in enumerate(pick(forms, FORMS))}
+        del words, forms
         self.cache: dict[str, int] = {}
         tables = []
         apart = [-1] * REACH  # between texts
-        every = np.concatenate([np.array(apart, np.int64), *[np.append(self.rows(t), apart) for t in texts]])
+        every = np.concatenate([np.array(apart, np.int64), *[np.append(self.rows(text.split()), apart) for _, text, _ in examples]])
         for known, rows in ((self.words, every >> 20), (self.forms, every & 0xFFFFF)):
             rows = np.where(every < 0, 0, rows)
             index = np.zeros((len(known) + 1, SIZE))
@@ -76,9 +76,10 @@ class Model:
             sign = np.take_along_axis(index, at, axis=1)
             for d in range(1, REACH + 1):  # an entry moves one place up for a neighbour on the right, down for one on the left
                 for own, other, turn in ((rows[:-d], rows[d:], 1), (rows[d:], rows[:-d], -1)):
-                    for e in range(ENTRIES):
-                        place = own * SIZE + (at[other, e] + turn) % SIZE
-                        around += np.bincount(place, weights=sign[other, e], minlength=index.size)
+                    for begin in range(0, len(own), 1 << 19):
+                        o, n = own[begin : begin + (1 << 19)], other[begin : begin + (1 << 19)]
+                        for e in range(ENTRIES):
+                            around += np.bincount(o * SIZE + (at[n, e] + turn) % SIZE, weights=sign[n, e], minlength=index.size)
             around = around.reshape(index.shape)
             around[0] = 0
             length = np.linalg.norm(around, axis=1, keepdims=True)
@@ -88,7 +89,7 @@ class Model:
         y = np.array([x[2] for x in examples], float)
         self.base = float((y.sum() + 0.5) / (len(y) + 1)) if len(y) else 0.5
         if len(y) and 0 < y.sum() < len(y):
-            self.fit(np.array([self.features(t) for t in texts]), y, np.random.default_rng(seed))
+            self.fit(np.array([self.features(text.split()) for _, text, _ in examples]), y, np.random.default_rng(seed))
 
     def rows(self, words: list[str]) -> np.ndarray:
         """Row of each word, and of its form in the lower 20 bits; 0: none."""
