@@ -109,8 +109,8 @@ def grid(images: DataFrame, key: str, height: int = HEIGHT, width: int = WIDTH)
     """(image_id, r, c): a row per pixel of every image."""
     rows, columns = F.sequence(F.lit(0), F.lit(height - 1)), F.sequence(F.lit(0), F.lit(width - 1))
     return (
-        images.select(F.col(key).cast("long").alias("image_id"), F.explode(rows).cast("int").alias("r"))
-        .select("image_id", "r", F.explode(columns).cast("int").alias("c"))
+        images.select(F.col(key).cast("long").alias("image_id"), F.explode(rows).alias("r"))
+        .select("image_id", "r", F.explode(columns).alias("c"))
     )
 
 
@@ -138,7 +138,7 @@ def hit(k: Column, r: Column, c: Column) -> Column:
 def stack(images: DataFrame, key: str, depth: int = 5, channels: int = 2) -> DataFrame:
     """pixels with t, ch and z: small planes of 12 by 14."""
     z, ch = F.sequence(F.lit(0), F.lit(depth - 1)), F.sequence(F.lit(0), F.lit(channels - 1))
-    rows = grid(images, key, 12, 14).select("*", F.explode(z).cast("int").alias("z")).select("*", F.explode(ch).cast("int").alias("ch"))
+    rows = grid(images, key, 12, 14).select("*", F.explode(z).alias("z")).select("*", F.explode(ch).alias("ch"))
     k, r, c, zz, q = (F.col(x) for x in ("image_id", "r", "c", "z", "ch"))
     return rows.withColumn("t", F.lit(0)).withColumn("v", ((r * 5 + c * 3 + zz * 17 * (r + 1) + q * 31 + k) % 257).cast("double"))
 

@@ -44,9 +44,6 @@ def _apply(units: Units, rows: pd.DataFrame) -> list[dict]:
 
 
 def _frame(rows: list[dict]) -> pd.DataFrame:
-    for row in rows:
-        row["unit"] = list(row["unit"].items())
-        row["failed"] = [f | {"scope": list(f["scope"].items())} for f in row["failed"]]
     names = "job level unit state value error jobs failed n_inputs".split()
     out = pd.DataFrame(rows, columns=names)
     return out.astype({"job": "int64", "n_inputs": "int32"}) if len(out) else out
