@@ -91,3 +91,11 @@ def filtered(docs: DataFrame, text_col: str, keep: Callable[[list[str]], list[bo
                 yield part.filter(pa.array(keep([x or "" for x in part.column(at).to_pylist()]), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, with as many underscores before it as it takes not to be one of ``columns``."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

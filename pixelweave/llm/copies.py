@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixelweave.llm.common import cut, in_blocks
+from pixelweave.llm.common import cut, free_name, in_blocks
 from pixelweave.llm.graph import components
 
 WORDS, SIMILARITY = 5, 0.8
@@ -112,11 +112,12 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Rows with a null id stay, as nothing tells them apart. Rows that share such an id and the text are one.
     """
+    columns = docs.columns
+    first, times = free_name(columns, "first_of_group"), free_name(columns, "rows_of_id")
     found = near_copies(docs, id_col, text_col)
-    first = found.where(F.col("component_id") == F.col(id_col)).groupBy(F.col("component_id").alias("first_of_group")).agg(F.count(F.lit(1)).alias("rows_of_id"))
-    first = cut(first)
-    kept = docs.join(first, docs[id_col] == first["first_of_group"], "left").where(F.col("first_of_group").isNotNull() | F.col(id_col).isNull())
-    if first.where("rows_of_id > 1").limit(1).count():
-        once = kept.where("rows_of_id > 1").dropDuplicates([id_col])
-        kept = kept.where("rows_of_id = 1 or rows_of_id is null").unionByName(once)
-    return kept.select(docs.columns)
+    firsts = cut(found.where(F.col("component_id") == F.col(id_col)).groupBy(F.col("component_id").alias(first)).agg(F.count(F.lit(1)).alias(times)))
+    kept = docs.join(firsts, docs[id_col] == firsts[first], "left").where(F.col(first).isNotNull() | F.col(id_col).isNull())
+    if firsts.where(F.col(times) > 1).limit(1).count():
+        once = kept.where(F.col(times) > 1).dropDuplicates([id_col])
+        kept = kept.where((F.col(times) == 1) | F.col(times).isNull()).unionByName(once)
+    return kept.select(*[F.col(f"`{c}`") for c in columns])

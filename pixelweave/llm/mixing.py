@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pixelweave.llm.common import WORD, cut, table
+from pixelweave.llm.common import WORD, cut, free_name, table
 
 #: Shares of the sources by code point of their names, repeating; most times that a document is taken.
 WEIGHTS, MOST = (5, 2, 1), 3
@@ -193,16 +193,19 @@ def resampled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     Rows that share an id and a source meet their numbers of copies in order of their sizes.
     """
     taken = cut(mixed(docs, id_col, text_col, source_col).select(F.col(id_col).alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copies").alias("_copies")))
-    same = F.col("_id").eqNullSafe(F.col(id_col)) & F.col("_source").eqNullSafe(F.col(source_col).cast("string"))
-    rows = docs
-    if taken.groupBy("_id", "_source").count().where("count > 1").limit(1).count():
-        turn = Window.partitionBy("_id", "_source").orderBy("_size", "_copies")
-        taken = taken.withColumn("_turn", F.row_number().over(turn))
+    rows, columns = docs, docs.columns
+    turn, copy = free_name(columns, "_turn"), free_name(columns, "_copy")
+    repeated = taken.groupBy("_id", "_source").count().where("count > 1").limit(1).count() > 0
+    if repeated:
+        taken = taken.withColumn("_place", F.row_number().over(Window.partitionBy("_id", "_source").orderBy("_size", "_copies")))
         size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0))
-        rows = docs.withColumn("_n", F.row_number().over(Window.partitionBy(id_col, source_col).orderBy(size)))
-        same = same & (F.col("_n") == F.col("_turn"))
-    rows = rows.join(taken, same).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-    return rows.select(docs.columns)
+        rows = docs.withColumn(turn, F.row_number().over(Window.partitionBy(id_col, source_col).orderBy(size)))
+    same = F.col("t._id").eqNullSafe(F.col(f"d.{id_col}")) & F.col("t._source").eqNullSafe(F.col(f"d.{source_col}").cast("string"))
+    if repeated:
+        same = same & (F.col(f"d.{turn}") == F.col("t._place"))
+    joined = rows.alias("d").join(taken.alias("t"), same).where(F.col("t._copies") > 0)
+    out = joined.select("d.*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("t._copies"))).alias(copy))
+    return out.select(*[F.col(f"`{c}`") for c in columns])
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
