@@ -83,7 +83,7 @@ def reduce(table: DataFrame, id_col: str = "id", enough: float = 0.5, n: int = 2
     if not names:
         raise ValueError("no feature can be used")
     even = scaled(table, names)
-    axes, shares, mean = principal_axes(even, names, max(2, n))
+    axes, shares, mean = principal_axes(even, names, max(50, n))
     if axes.shape[1] < 2:  # one feature: the second axis is zero
         axes, shares = np.hstack([axes, np.zeros((len(names), 1))]), np.append(shares, 0.0)
     def along(i: int):
