@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pixelweave import pixels as P
-from pixelweave.operators import align, filters, focus, kernels, measure, population, resample, table, texture
+from pixelweave.operators import align, features, filters, focus, kernels, measure, population, resample, table, texture
 from pixelweave.plans.plan import Phase, Plan, Step
 from pixelweave.streaming import scopes
 
@@ -323,6 +323,13 @@ def lbp_stats(spark, sf_dir):
     return found
 
 
+@query(STACK + ", m AS (SELECT image_id, r, c, CAST(r // 4 + 1 AS INTEGER) AS label FROM stack WHERE ch = 0 AND z = 0 AND c < 9) SELECT m.image_id, m.label, " + ", ".join(r6(f"avg(s.v) FILTER (s.ch = {i})", f"mean_c{i}") for i in (0, 1)) + " FROM m JOIN stack s USING (image_id, r, c) WHERE s.z = 0 GROUP BY ALL")
+def channel_means(spark, sf_dir):
+    own = stacks(spark, sf_dir).where("z = 0")
+    labels = own.where("ch = 0 and c < 9").select("image_id", "r", "c", (F.floor(F.col("r") / 4) + 1).cast("int").alias("label"))
+    return rounded(measure.by_channel(labels.join(own.select("image_id", "r", "c", "ch", "v"), ["image_id", "r", "c"]), [0, 1]), "mean_c0", "mean_c1")
+
+
 # ---- focus
 
 _PL = STACK + ", planes AS (SELECT image_id AS stack_id, z, r, c, v FROM stack WHERE ch = 0)"
@@ -498,6 +505,46 @@ def laplacian(spark, sf_dir):
     return resample.laplacian(pixels(spark, sf_dir))
 
 
+@query(PIX + """, e AS (SELECT DISTINCT a.image_id, a.label AS u, b.label AS v FROM masks a JOIN masks b ON a.image_id = b.image_id AND ((b.r = a.r AND b.c IN (a.c - 1, a.c + 1)) OR (b.c = a.c AND b.r IN (a.r - 1, a.r + 1)))),
+  reach AS (WITH RECURSIVE w AS (SELECT image_id, u, v FROM e UNION SELECT w.image_id, w.u, e.v FROM w JOIN e ON e.image_id = w.image_id AND e.u = w.v) SELECT * FROM w)
+  SELECT image_id, u AS label, min(v) AS part FROM reach GROUP BY ALL""")
+def connected_parts(spark, sf_dir):
+    """Labels that touch, named by the smallest among them: connected components of each image's foreground."""
+    import pandas as pd
+
+    def one(rows):
+        labels = kernels.plane(rows, "label", H, W)
+        parts = kernels.components(labels > 0)
+        pairs = pd.DataFrame({"label": labels[labels > 0], "n": parts[labels > 0]}).drop_duplicates()
+        pairs["part"] = pairs.groupby("n")["label"].transform("min")
+        return pairs.assign(image_id=rows["image_id"].iloc[0])[["image_id", "label", "part"]].drop_duplicates()
+
+    return masks(spark, sf_dir).groupBy("image_id").applyInPandas(one, "image_id long, label int, part int")
+
+
+@query(PIX + "SELECT image_id, count(*) AS n FROM (SELECT DISTINCT image_id, label FROM masks) GROUP BY image_id")
+def object_count(spark, sf_dir):
+    return masks(spark, sf_dir).groupBy("image_id").agg(F.count_distinct("label").alias("n"))
+
+
+@query()
+def all_features(spark, sf_dir):
+    """Every measure of every object in one table."""
+    return features.objects(features.Scene(pixels(spark, sf_dir), masks(spark, sf_dir), H, W), "all")
+
+
+@query()
+def layout_2d(spark, sf_dir):
+    suppliers = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_acctbal") / 1000).alias("a"), F.col("s_nationkey").cast("double").alias("b"))
+    return population.layout(suppliers, ["a", "b"])
+
+
+@query("WITH q AS (SELECT event_type, ts, value FROM events) SELECT event_type, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS hour, count(*) AS n, round(sum(value), 4) + 0.0 AS total FROM q GROUP BY ALL")
+def tumbling_windows(spark, sf_dir):
+    e = load(spark, sf_dir, "events").groupBy("event_type", F.window("ts", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    return rounded(e.select("event_type", F.floor(F.unix_timestamp("w.start") / 3600).alias("hour"), "n", "total"), "total", digits=4)
+
+
 # ---- scopes: events as submissions, users as carriers, their types as compartments
 
 _SUB = """WITH s AS (SELECT event_id AS job, CAST(user_id % 50 AS VARCHAR) AS carrier, event_type AS compartment, round(value, 2) AS value, event_id % 97 = 5 AS fail, event_id % 11 = 0 AS closes FROM events),
