@@ -274,3 +274,30 @@ def test_population(spark, tmp_path):
     y = out[["x", "y"]].to_numpy()
     near = [np.argsort(((y - p) ** 2).sum(1))[1] % 2 == i % 2 for i, p in enumerate(y)]
     assert np.mean(near) > 0.95 and np.array_equal(y, population.layout(spots, ["a", "b"], neighbours=8).toPandas().sort_values("id")[["x", "y"]].to_numpy())
+
+
+def test_features_by_family(spark):
+    from pixelweave.operators import features
+
+    assert features.expand("gradient") == ["prewitt", "roberts"] and features.expand(["lbp", "background"]) == ["global_background", "local_background", "lbp"]
+    assert len(features.expand("all")) == len(features.EXTRAS)
+    with pytest.raises(ValueError):
+        features.expand("unknown")
+    masks = np.zeros((12, 12), int)
+    masks[4:8, 4:8] = 1
+    scene = features.Scene(as_pixels(spark, np.full((12, 12), 3.0)), as_pixels(spark, masks, "label"), 12, 12, bg_radius=1)
+    row = features.objects(scene, ["background", "gyration"]).first()
+    assert (row.area, row.area_convex, row.bg_global_mean, row.bg_local_mean, row.solidity) == (16, 16, 3.0, 3.0, 1.0)
+    assert row.intensity_cv == 0.0 and row.intensity_radial_variance == pytest.approx(1.0)
+
+
+def test_sinks(spark, tmp_path):
+    from pixelweave.sources import sinks
+
+    own = as_pixels(spark, np.eye(3, dtype=int), "label")
+    sinks.checkpoint(own, own, {"diameter": 3}, str(tmp_path / "c"))
+    assert spark.read.parquet(str(tmp_path / "c" / "masks")).count() == 3
+    assert spark.read.json(str(tmp_path / "c" / "detection")).first().diameter == "3"
+    assert sinks.points_name("/a/b_objects.csv", "pca") == "b_pca.csv"
+    sinks.points(spark.createDataFrame([("a", 1.0)], "id string, pc1 double"), str(tmp_path / "p"))
+    assert spark.read.csv(str(tmp_path / "p"), header=True).first().id == "a"
