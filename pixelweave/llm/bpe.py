@@ -37,8 +37,10 @@ NONE, IN_L, IN_N, IN_O, IN_W, JOIN, ONE, TWO = range(8)
 #: Fixed values of the pattern: 's 't 'm 'd and 're 've 'll.
 SHORT, LONG = "stmd", ("re", "ve", "ll")
 #: Pieces that a worker keeps merged.
-CACHE = 1 << 20
+CACHE = 1 << 18
 WIDTH = 256
+#: Bytes of texts that are encoded together, beside the one that ends a block.
+BLOCK = 1_500_000
 
 
 def step(state: int, symbol: int) -> tuple[int, bool]:
@@ -289,7 +291,7 @@ def encoded(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", te
 
     schema = pa.schema([("id", to_arrow_type(key)), *fields])
     kinds = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * ids + ", decoded binary" * (ids and decoded)
-    return given.mapInArrow(in_blocks(work, schema, weigh=1), f"id {key.simpleString()}, {kinds}").withColumnRenamed("id", id_col)
+    return given.mapInArrow(in_blocks(work, schema, weigh=1, most=BLOCK), f"id {key.simpleString()}, {kinds}").withColumnRenamed("id", id_col)
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

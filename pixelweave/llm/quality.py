@@ -27,7 +27,7 @@ SIZE, ENTRIES, HIDDEN = 48, 4, 24
 WORDS, FORMS, REACH = 16_384, 4096, 2
 LIMIT = 0.5
 #: Words that a worker keeps the rows of.
-CACHE = 1 << 20
+CACHE = 1 << 17
 RUN = re.compile(r"(.)\1+", re.S)
 
 

@@ -29,7 +29,7 @@ PURE = 0.5
 #: How much rarer than one in all terms a term by chance must be, as a logarithm.
 SURE = math.log(100)
 #: Words that a worker keeps the terms of.
-CACHE = 1 << 20
+CACHE = 1 << 17
 #: ASCII other than letters and digits parts words.
 PARTS = bytes(b if chr(b).isalnum() and b < 128 or b >= 128 else 32 for b in range(256))
 
