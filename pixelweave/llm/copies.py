@@ -20,8 +20,11 @@ from pixelweave.llm.graph import components
 WORDS, SIMILARITY = 5, 0.8
 #: Segments, and places of a segment: at a similarity of 0.8 a pair shares a key with a chance of 0.995.
 SEGMENTS, PLACES = 5, 6
-#: Texts under a key up to which all pairs are candidates; beyond, each text with so many that follow it in order of their fingerprints.
+#: Texts under a key up to which all pairs are candidates; beyond, each text with so many that follow it in order of their fingerprints, and
+#: then, if that hasn't made one component of them, each outside the largest with all others.
 FEW, AHEAD = 48, 12
+#: Equal places of two fingerprints below which their texts aren't compared: of 30, four standard deviations less than 24.
+AT_LEAST = 15
 _rng = np.random.default_rng(9)
 FACTORS = _rng.integers(1, 1 << 63, SEGMENTS * PLACES, dtype=np.uint64) * 2 + 1
 TERMS = _rng.integers(0, 1 << 63, SEGMENTS * PLACES, dtype=np.uint64)
@@ -86,20 +89,38 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pairs = left.join(right, (F.col("key") == F.col("k")) & (F.col("node") < F.col("other"))).select("node", "other")
     order = Window.partitionBy("key").orderBy("sign", "node")
     ahead = F.array(*[F.lead("node", i).over(order) for i in range(1, AHEAD + 1)])
-    many = members.where(F.col("n") > FEW).select("node", ahead.alias("ahead")).select("node", F.explode("ahead").alias("other")).where("other is not null")
+    crowded = members.where(F.col("n") > FEW)
+    many = crowded.select("node", ahead.alias("ahead")).select("node", F.explode("ahead").alias("other")).where("other is not null")
     pairs = pairs.unionByName(many.select(F.least("node", "other").alias("node"), F.greatest("node", "other").alias("other"))).distinct()
-    pairs = cut(pairs)
-    used = pairs.select("node").union(pairs.select("other")).distinct()
-    texts = nodes.join(used, "node").select("node", "least").withColumnRenamed("node", "expected")
-    texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("binary").alias("text")).join(texts, F.col("id") == F.col("least"))
+    texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("binary").alias("text"))
     kind = pa.schema([("node", pa.int64()), ("set", pa.list_(pa.int32()))])
-    found = texts.select("text").mapInArrow(in_blocks(sets, kind, weigh=0), "node long, set array<int>")
-    found = cut(found.dropDuplicates(["node"]))
-    a, b = found.select(F.col("node").alias("a"), F.col("set").alias("sa")), found.select(F.col("node").alias("b"), F.col("set").alias("sb"))
-    both = pairs.join(a, F.col("node") == F.col("a")).join(b, F.col("other") == F.col("b"))
-    shared = F.size(F.array_intersect("sa", "sb"))
-    alike = both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select(F.col("node").alias("u"), F.col("other").alias("v"))
-    linked = components(alike)
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        """The pairs whose shingle sets are similar enough, as edges."""
+        pairs = cut(pairs)
+        used = pairs.select("node").union(pairs.select("other")).distinct()
+        wanted = nodes.join(used, "node").select("least")
+        own = texts.join(wanted, texts["id"] == wanted["least"]).select("text")
+        found = cut(own.mapInArrow(in_blocks(sets, kind, weigh=0), "node long, set array<int>").dropDuplicates(["node"]))
+        a, b = found.select(F.col("node").alias("a"), F.col("set").alias("sa")), found.select(F.col("node").alias("b"), F.col("set").alias("sb"))
+        both = pairs.join(a, F.col("node") == F.col("a")).join(b, F.col("other") == F.col("b"))
+        shared = F.size(F.array_intersect("sa", "sb"))
+        return both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select(F.col("node").alias("u"), F.col("other").alias("v"))
+
+    edges = cut(alike(pairs))
+    linked = components(edges)
+    # crowded keys whose texts aren't one component yet: all that are outside their key's largest meet the others
+    if crowded.limit(1).count():
+        at = crowded.join(linked.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left").select("key", "node", "sign", F.coalesce("component", "node").alias("component"))
+        at = cut(at)
+        sizes = at.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k"))
+        most = sizes.groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+        split = at.join(most, "key").select("key", "node", "sign", "component", "largest")
+        minor = split.where("component <> largest").select(F.col("key").alias("k"), F.col("node").alias("other"), F.col("sign").alias("s2"), F.col("component").alias("c2"))
+        same = F.size(F.filter(F.sequence(F.lit(1), F.lit(len(FACTORS))), lambda i: F.substring(F.col("sign"), i, 1) == F.substring(F.col("s2"), i, 1)))
+        rest = split.join(minor, (F.col("key") == F.col("k")) & (F.col("component") != F.col("c2"))).where(same >= AT_LEAST)
+        rest = rest.select(F.least("node", "other").alias("node"), F.greatest("node", "other").alias("other")).distinct()
+        linked = components(edges.unionByName(alike(rest)))
     of = nodes.select("node", "least").join(linked.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left")
     of = of.select("node", "least", F.coalesce("component", "node").alias("component"))
     first = of.groupBy(F.col("component").alias("c")).agg(F.min("least").alias("component_id"))

@@ -74,7 +74,11 @@ def test_simhash_links(spark, monkeypatch, few):
     assert [found.get(x, x) for x in prints] == [prints[c] for c in components(len(prints), links)]
 
 
-def test_near_copies(spark):
+@pytest.mark.parametrize("few", [(48, 12), (3, 1)])
+def test_near_copies(spark, monkeypatch, few):
+    """With a low bound on pairs, keys with more texts are settled in two rounds."""
+    monkeypatch.setattr(copies, "FEW", few[0])
+    monkeypatch.setattr(copies, "AHEAD", few[1])
     r = random.Random(2)
     words = [f"w{i}" for i in range(3000)]
     rows = []
