@@ -386,12 +386,12 @@ def focus_curves(spark, sf_dir):
 @query(PIX + "SELECT DISTINCT image_id, label, dense_rank() OVER (PARTITION BY image_id ORDER BY label) AS fresh FROM masks")
 def relabel_sequential(spark, sf_dir):
     labels = masks(spark, sf_dir).select("image_id", "label").distinct()
-    return labels.withColumn("fresh", F.dense_rank().over(Window.partitionBy("image_id").orderBy("label")))
+    return labels.withColumn("fresh", F.dense_rank().over(Window.partitionBy("image_id").orderBy("label")).cast("long"))
 
 
 @query("SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS turn FROM events")
 def priority_order(spark, sf_dir):
-    return load(spark, sf_dir, "events").select("event_type", "event_id", F.row_number().over(Window.partitionBy("event_type").orderBy(F.desc("value"), "event_id")).alias("turn"))
+    return load(spark, sf_dir, "events").select("event_type", "event_id", F.row_number().over(Window.partitionBy("event_type").orderBy(F.desc("value"), "event_id")).cast("long").alias("turn"))
 
 
 @query(PIX + f", bo AS (SELECT DISTINCT image_id, label FROM masks WHERE r < 2 OR r >= {H - 2} OR c < 2 OR c >= {W - 2}), sm AS (SELECT image_id, label FROM masks GROUP BY ALL HAVING count(*) < 20) SELECT image_id, label FROM bo UNION SELECT image_id, label FROM sm")
@@ -425,7 +425,7 @@ def object_names(spark, sf_dir):
     return lines.select("l_orderkey", "l_linenumber", table.object_id(table.tile_name(parts), F.col("l_linenumber")).alias("id"))
 
 
-@query("SELECT o_orderkey, round(o_totalprice + 0.0 * ((o_custkey % 48) - 24.0) * 2 - 1.0 * ((o_orderkey % 40) - 20.0) * 3, 6) AS x_um, round(1.0 * ((o_custkey % 48) - 24.0) * 2 + 0.0 * ((o_orderkey % 40) - 20.0) * 3, 6) + 0.0 AS y_um FROM orders")
+@query("SELECT o_orderkey, round(o_totalprice + 0.0 * ((o_custkey % 48) - 24.0) * 2 - 1.0 * ((o_orderkey % 40) - 20.0) * 3, 6) AS x_um, CAST(1.0 * ((o_custkey % 48) - 24.0) * 2 + 0.0 * ((o_orderkey % 40) - 20.0) * 3 AS DOUBLE) + 0.0 AS y_um FROM orders")
 def stage_affine(spark, sf_dir):
     arr = lambda *v: F.array(*[F.lit(x) for x in v])
     x, y = table.stage_position((F.col("o_orderkey") % 40).cast("double"), (F.col("o_custkey") % 48).cast("double"), F.array("o_totalprice", F.lit(0.0)), arr(2.0, 3.0), arr(48, 40), F.array(arr(0.0, -1.0), arr(1.0, 0.0)))
