@@ -22,9 +22,11 @@ WORDS, SIMILARITY = 5, 0.8
 SEGMENTS, PLACES = 5, 6
 #: Texts under a key up to which all pairs are candidates; beyond, each text with so many that follow it in order of their fingerprints, and
 #: then, if that hasn't made one component of them, each outside the largest with all others.
-FEW, AHEAD = 48, 12
-#: Equal places of two fingerprints below which their texts aren't compared: of 30, four standard deviations less than 24.
-AT_LEAST = 15
+FEW, AHEAD = 48, 5
+#: Shingles of all texts to compare up to which their sets are broadcast, at four bytes each.
+SENT = 4_000_000
+#: Equal places of two fingerprints below which their texts aren't compared: of 30, three standard deviations less than 24.
+AT_LEAST = 17
 _rng = np.random.default_rng(9)
 FACTORS = _rng.integers(1, 1 << 63, SEGMENTS * PLACES, dtype=np.uint64) * 2 + 1
 TERMS = _rng.integers(0, 1 << 63, SEGMENTS * PLACES, dtype=np.uint64)
@@ -87,7 +89,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     few = members.where(F.col("n") <= FEW)
     left, right = few.select("key", "node"), few.select(F.col("key").alias("k"), F.col("node").alias("other"))
     pairs = left.join(right, (F.col("key") == F.col("k")) & (F.col("node") < F.col("other"))).select("node", "other")
-    order = Window.partitionBy("key").orderBy("sign", "node")
+    # every key has an order of its own, so that a text meets others under each of its keys
+    begin = F.pmod(F.col("key"), F.lit(len(FACTORS))).cast("int")
+    turned = F.concat(F.substr("sign", begin + 1, F.lit(len(FACTORS))), F.substr("sign", F.lit(1), begin))
+    order = Window.partitionBy("key").orderBy(turned, "node")
     ahead = F.array(*[F.lead("node", i).over(order) for i in range(1, AHEAD + 1)])
     crowded = members.where(F.col("n") > FEW)
     many = crowded.select("node", ahead.alias("ahead")).select("node", F.explode("ahead").alias("other")).where("other is not null")
@@ -102,6 +107,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         wanted = nodes.join(used, "node").select("least")
         own = texts.join(wanted, texts["id"] == wanted["least"]).select("text")
         found = cut(own.mapInArrow(in_blocks(sets, kind, weigh=0), "node long, set array<int>").dropDuplicates(["node"]))
+        small = (found.agg(F.sum(F.size("set"))).first()[0] or 0) <= SENT
+        found = F.broadcast(found) if small else found
         a, b = found.select(F.col("node").alias("a"), F.col("set").alias("sa")), found.select(F.col("node").alias("b"), F.col("set").alias("sb"))
         both = pairs.join(a, F.col("node") == F.col("a")).join(b, F.col("other") == F.col("b"))
         shared = F.size(F.array_intersect("sa", "sb"))
