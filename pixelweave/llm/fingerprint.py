@@ -106,7 +106,8 @@ def with_next(docs: DataFrame, buckets: int) -> DataFrame:
     edges = F.array(*[F.lit(x) for x in sorted(set(bounds))]).cast("array<bigint>")
     place = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.size(F.filter(edges, lambda e: e <= F.col("doc_id"))))
     least = docs.groupBy(place.alias("of")).agg(F.min("doc_id").alias("least"))
-    firsts = docs.join(least, docs["doc_id"].eqNullSafe(least["least"])).groupBy("of").agg(F.min("text").alias("first_text"))
+    # one row per range at most, so it may be broadcast
+    firsts = docs.join(F.broadcast(least), docs["doc_id"].eqNullSafe(least["least"])).groupBy("of").agg(F.min("text").alias("first_text"))
     line = Window.orderBy("of")
     links = cut(
         firsts.withColumn("then", F.coalesce(F.lead("of").over(line), F.first("of").over(line))).withColumn(
