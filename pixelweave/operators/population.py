@@ -94,23 +94,67 @@ def reduce(table: DataFrame, id_col: str = "id", enough: float = 0.5, n: int = 2
     return points, {"features": names, "variance": shares.tolist(), "top": top}
 
 
-def layout(points: DataFrame, names: list[str], id_col: str = "id", neighbours: int = 15, rounds: int = 200, seed: int = 0, most: int = 20_000) -> DataFrame:
+def nearest_rows(queries: np.ndarray, x: np.ndarray, begin: int, k: int, tile: int = 8192) -> tuple[np.ndarray, np.ndarray]:
+    """Places in ``x`` and distances of the k nearest other rows of each query, which are the rows of ``x`` from ``begin``; ties to the earlier row."""
+    n = len(queries)
+    row, at, far = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    worst = np.full(n, np.inf)
+    for first in range(0, len(x), tile):
+        part = x[first : first + tile]
+        d = np.sqrt(np.maximum(0, (queries**2).sum(1)[:, None] + (part**2).sum(1) - 2 * queries @ part.T))
+        own = np.arange(max(begin, first), min(begin + n, first + len(part)))
+        d[own - begin, own - first] = np.inf
+        near = d < worst[:, None]
+        if k < len(part) and near.sum() > 4 * k * n:  # rows beyond the tile's own k nearest can't be among them
+            near &= d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+        r, c = np.nonzero(near)
+        row, at, far = np.concatenate([row, r]), np.concatenate([at, c + first]), np.concatenate([far, d[r, c]])
+        order = np.lexsort((at, far, row))
+        row, at, far = row[order], at[order], far[order]
+        starts = np.searchsorted(row, np.arange(n))
+        best = np.arange(len(row)) - starts[row] < k
+        row, at, far = row[best], at[best], far[best]
+        size = np.bincount(row, minlength=n)
+        ends = np.cumsum(size)
+        worst = np.where(size == k, far[ends - 1], np.inf)
+    return at.reshape(n, k), far.reshape(n, k)
+
+
+def neighbour_graph(spark, x: np.ndarray, k: int, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """(near, far) of every row: the k nearest others and their distances. Blocks of rows are tasks, each against all rows."""
+    n = len(x)
+    near, far = np.zeros((n, k), np.int64), np.zeros((n, k))
+    if not k:
+        return near, far
+    every = spark.sparkContext.broadcast(x)
+
+    def search(batches):
+        for pdf in batches:
+            for begin in pdf["id"].tolist():
+                at, d = nearest_rows(every.value[begin : begin + block], every.value, begin, k)
+                yield pd.DataFrame({"begin": [begin], "near": [at.astype(np.int32).tobytes()], "far": [d.tobytes()]})
+
+    tasks = min(-(-n // block), 4 * spark.sparkContext.defaultParallelism)
+    for found in spark.range(0, n, block, tasks).mapInPandas(search, "begin long, near binary, far binary").collect():
+        rows = slice(found["begin"], found["begin"] + block)
+        near[rows] = np.frombuffer(found["near"], np.int32).reshape(-1, k)
+        far[rows] = np.frombuffer(found["far"]).reshape(-1, k)
+    every.unpersist()
+    return near, far
+
+
+def layout(points: DataFrame, names: list[str], id_col: str = "id", neighbours: int = 15, rounds: int = 200, seed: int = 0) -> DataFrame:
     """(id, x, y): a seeded layout that keeps neighbours near.
 
-    The graph of nearest neighbours is weighed as fuzzy sets are; points are pulled along it and pushed from random others. It is
-    one kernel on at most ``most`` points, taken by least hash; more points take the place of the nearest of those laid out.
+    The graph of nearest neighbours, of all points and exact, is made by the workers and weighed as fuzzy sets are; all points are pulled along it and
+    pushed from random others by one kernel on the driver, which holds the points and their neighbours.
     """
-    chosen = points.orderBy(F.xxhash64(id_col), id_col).limit(most).toPandas()
+    chosen = points.select(id_col, *names).orderBy(F.xxhash64(id_col), id_col).toPandas()
     x = chosen[names].to_numpy(float)
     n = len(x)
     k = min(neighbours, n - 1)
     rng = np.random.default_rng(seed)
-    near, far = np.zeros((n, k), np.int64), np.zeros((n, k))
-    for begin in range(0, n, 512):
-        d = np.sqrt(np.maximum(0, (x[begin : begin + 512] ** 2).sum(1)[:, None] + (x**2).sum(1) - 2 * x[begin : begin + 512] @ x.T))
-        d[np.arange(len(d)), np.arange(begin, begin + len(d))] = np.inf
-        near[begin : begin + 512] = np.argsort(d, axis=1, kind="stable")[:, :k]
-        far[begin : begin + 512] = np.take_along_axis(d, near[begin : begin + 512], axis=1)
+    near, far = neighbour_graph(points.sparkSession, x, k)
     weight = np.exp(-(far - far[:, :1]) / (far.mean(axis=1, keepdims=True) + 1e-9)) if k else far
     spread = x - x.mean(axis=0)
     _, _, vt = np.linalg.svd(spread, full_matrices=False)
@@ -128,13 +172,4 @@ def layout(points: DataFrame, names: list[str], id_col: str = "id", neighbours:
         y += rate * np.clip(delta / ((0.1 + d2) * (1 + d2)), -1, 1)
     out = pd.DataFrame({id_col: chosen[id_col], "x": y[:, 0], "y": y[:, 1]})
     kind = points.schema[id_col].dataType.simpleString()
-    if n < most:
-        return points.sparkSession.createDataFrame(out, f"{id_col} {kind}, x double, y double")
-
-    def place(batches):
-        for pdf in batches:
-            p = pdf[names].to_numpy(float)
-            at = np.concatenate([((p[i : i + 256, None] - x[None]) ** 2).sum(2).argmin(1) if n <= 2048 else np.argmin((x**2).sum(1) - 2 * p[i : i + 256] @ x.T, axis=1) for i in range(0, len(p), 256)]) if len(p) else np.zeros(0, int)
-            yield pd.DataFrame({id_col: pdf[id_col], "x": y[at, 0], "y": y[at, 1]})
-
-    return points.mapInPandas(place, f"{id_col} {kind}, x double, y double")
+    return points.sparkSession.createDataFrame(out, f"{id_col} {kind}, x double, y double")

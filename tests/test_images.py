@@ -276,6 +276,22 @@ def test_population(spark, tmp_path):
     assert np.mean(near) > 0.95 and np.array_equal(y, population.layout(spots, ["a", "b"], neighbours=8).toPandas().sort_values("id")[["x", "y"]].to_numpy())
 
 
+def test_layout_of_more_than_twenty_thousand(spark):
+    n = 20_500
+    spots = spark.range(n).select("id", (F.col("id") % 151).cast("double").alias("a"), F.floor(F.col("id") / 151).cast("double").alias("b"))
+    out = population.layout(spots, ["a", "b"], neighbours=4, rounds=5).toPandas()
+    assert sorted(out["id"]) == list(range(n)) and len(out[["x", "y"]].drop_duplicates()) == n
+
+
+def test_nearest_rows():
+    for x in (RNG.normal(size=(700, 3)), RNG.integers(0, 4, (700, 2)).astype(float), np.zeros((300, 2))):
+        at, far = population.nearest_rows(x[100:250], x, 100, 5, tile=64)
+        d = np.sqrt(((x[100:250, None] - x[None]) ** 2).sum(2))
+        d[np.arange(150), np.arange(100, 250)] = np.inf
+        want = np.argsort(d, axis=1, kind="stable")[:, :5]
+        assert np.array_equal(at, want) and np.allclose(far, np.take_along_axis(d, want, axis=1))
+
+
 def test_features_by_family(spark):
     from pixelweave.operators import features
 
