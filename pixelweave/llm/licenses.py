@@ -2,8 +2,8 @@
 
 A text's words, joined by single spaces, go once through an automaton of all phrases (each between spaces,
 so that only whole words match, places that overlap included). Where the words of an identifier tag stand, the
-rest of that line is parsed as an expression of ``and``, ``or`` and ``with`` by a shunting-yard parser and evaluated to
-the set of its licences.
+rest of that line is parsed as an expression of ``and``, ``or`` and ``with`` by a shunting-yard parser; all licences
+that it names are labels.
 """
 
 from __future__ import annotations
@@ -88,8 +88,26 @@ def shunt(text: str) -> list[str]:
     return best
 
 
+def identifiers(postfix: list[str]) -> set[str]:
+    """Licences that any choice of an expression names; exceptions aren't among them."""
+    stack: list[set[str]] = []
+    for token in postfix:
+        if token not in RANK:
+            stack.append({token.lower().rstrip("+")})
+            continue
+        right, left = stack.pop(), stack.pop()
+        if token != "with":
+            left, right = (left, right) if len(left) >= len(right) else (right, left)
+            left |= right
+        stack.append(left)
+    return stack[0] if stack else set()
+
+
 def evaluate(postfix: list[str]) -> list[frozenset[str]]:
-    """Choices that an expression allows, each the set of licences that then hold together."""
+    """Choices that an expression allows, each the set of licences that then hold together.
+
+    All of them, which may be as many as two to the power of the number of ``and``: scans leave the postfix form unexpanded.
+    """
     stack: list[list[frozenset[str]]] = []
     for token in postfix:
         if token not in RANK:
@@ -102,7 +120,7 @@ def evaluate(postfix: list[str]) -> list[frozenset[str]]:
             joined = [a | b for a in left for b in right]
         else:  # an exception belongs to its licence and adds no licence
             joined = left
-        stack.append(sorted(dict.fromkeys(joined), key=sorted)[:64] if token == "and" else joined)
+        stack.append(sorted(dict.fromkeys(joined), key=sorted) if token == "and" else joined)
     return stack[0] if stack else []
 
 
@@ -140,7 +158,7 @@ def scan(text: str | None) -> tuple:
         for m in TAGGED.finditer(text):
             if postfix := shunt(m[1]):
                 expressions.append(" ".join(postfix))
-                labels |= {label_of(x) for choice in evaluate(postfix) for x in choice}
+                labels |= {label_of(x) for x in identifiers(postfix)}
     at = [line.count(" ", 0, p) for p in ((min(places), max(places)) if places else ())] or [None, None]
     labels |= base
     # each place or tag halves the doubt; notices without a name count as one

@@ -118,6 +118,13 @@ def test_licenses():
     assert licenses.scan("commit license")[1] == 0 and licenses.scan(None)[:4] == (0, 0, None, None)
 
 
+def test_licenses_of_many_choices():
+    text = " and ".join(f"(a{i} or b{i})" for i in range(7))
+    assert licenses.scan(f"SPDX-License-Identifier: {text}")[5].split(",") == sorted(f"{x}{i}" for x in "ab" for i in range(7))
+    assert len(licenses.evaluate(licenses.shunt(text))) == 128
+    assert licenses.identifiers(licenses.shunt("GPL-2.0+ with Classpath and (MIT or MIT)")) == {"gpl-2.0", "mit"}
+
+
 def test_mixing(spark, texts):
     out = mixing.op10_source_mixing(spark, SF).toPandas()
     assert (out["taken"] <= 3 * out["size"]).all()
