@@ -1,8 +1,8 @@
 """License scans: an Aho-Corasick automaton over words, and a parser of licence expressions.
 
 A text's words, joined by single spaces, go once through an automaton of all phrases (each between spaces,
-so that only whole words match, places that overlap included). Where the words of an identifier tag stand, the
-rest of that line is parsed as an expression of ``and``, ``or`` and ``with`` by a shunting-yard parser; all licences
+so that only whole words match, places that overlap included). After each place of an identifier tag, what stands before the
+next tag or the end of the line is parsed as an expression of ``and``, ``or`` and ``with`` by a shunting-yard parser; all licences
 that it names are labels.
 """
 
@@ -46,7 +46,9 @@ KEEP = bytes(
 )
 RANK = {"or": 1, "and": 2, "with": 3}
 TOKEN = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+:-]*")
-TAGGED = re.compile(r"spdx[^0-9A-Za-z\x80-\U0010ffff]+license[^0-9A-Za-z\x80-\U0010ffff]+identifier[ \t]*:?[ \t]*([^\r\n]*)", re.I)
+#: Words as ``KEEP`` leaves them, and what stands after a tag up to the end of its line.
+WORD = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+")
+REST = re.compile(r"[ \t]*:?[ \t]*([^\r\n]*)")
 
 
 def shunt(text: str) -> list[str]:
@@ -144,7 +146,7 @@ def scan(text: str | None) -> tuple:
     words = (text or "").encode("utf-8", "surrogatepass").translate(KEEP).split()
     line = b" " + b" ".join(words) + b" "
     line = line.decode("latin-1")
-    places, base, labels, tagged = [], set(), set(), False
+    places, base, labels, tags = [], set(), set(), []
     for end, (size, label, own) in automaton().iter(line):
         if own:
             places.append(end + 1 - size)
@@ -152,10 +154,16 @@ def scan(text: str | None) -> tuple:
         elif label:
             labels.add(label)
         else:
-            tagged = True
+            tags.append(end + 1 - size)
     expressions = []
-    if tagged:
-        for m in TAGGED.finditer(text):
+    if tags:
+        spans = [m.span() for m in WORD.finditer(text)]
+        firsts, n = [], 0
+        for before, place in zip([0, *tags], tags):
+            n += line.count(" ", before, place)
+            firsts.append(n)
+        for i, n in zip(firsts, [*firsts[1:], None]):
+            m = REST.match(text, spans[i + TAG.count(" ")][1], len(text) if n is None else spans[n][0])
             if postfix := shunt(m[1]):
                 expressions.append(" ".join(postfix))
                 labels |= {label_of(x) for x in identifiers(postfix)}

@@ -125,6 +125,11 @@ def test_licenses_of_many_choices():
     assert licenses.identifiers(licenses.shunt("GPL-2.0+ with Classpath and (MIT or MIT)")) == {"gpl-2.0", "mit"}
 
 
+def test_licenses_of_many_tags_in_a_line():
+    text = "é MIT License a.c SPDX-License-Identifier: MIT b.c SPDX-License-Identifier: Apache-2.0 OR SPDX-License-Identifier: BSD-3-Clause\nSPDX License Identifier EPL-2.0\nGPL-2.0"
+    assert licenses.scan(text)[5:6] + licenses.scan(text)[7:] == ("apache,bsd,epl,mit", ["MIT", "Apache-2.0", "BSD-3-Clause", "EPL-2.0"])
+
+
 def test_mixing(spark, texts):
     out = mixing.op10_source_mixing(spark, SF).toPandas()
     assert (out["taken"] <= 3 * out["size"]).all()
