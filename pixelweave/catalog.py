@@ -377,7 +377,7 @@ def dct_entropy(spark, sf_dir):
 
 @query()
 def focus_curves(spark, sf_dir):
-    return focus.curves(planes(spark, sf_dir))
+    return focus.curves(planes(spark, sf_dir), 12, 14)
 
 
 # ---- windows and sets

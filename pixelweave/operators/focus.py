@@ -119,7 +119,7 @@ def dct_entropy(planes: DataFrame, height: int, width: int) -> DataFrame:
     return energy.groupBy(*PLANE).agg(F.coalesce(-F.sum(F.when(F.col("p") > 0, F.col("p") * F.log2("p"))), F.lit(0.0)).alias("dct_entropy"))
 
 
-def curves(planes: DataFrame, percentile: float = 99.0) -> DataFrame:
-    """All measures of every plane, long: (stack_id, z, measure, score)."""
-    wide = brenner(planes).join(vollath(planes), PLANE).join(bright(planes, percentile), PLANE)
-    return wide.unpivot(PLANE, ["brenner", "vollath_f4", "intensity"], "measure", "score")
+def curves(planes: DataFrame, height: int, width: int, percentile: float = 99.0) -> DataFrame:
+    """All measures of every plane, long: (stack_id, z, measure, score). Planes are ``height`` by ``width``."""
+    wide = brenner(planes).join(vollath(planes), PLANE).join(bright(planes, percentile), PLANE).join(dct_entropy(planes, height, width), PLANE, "left")
+    return wide.unpivot(PLANE, ["brenner", "vollath_f4", "intensity", "dct_entropy"], "measure", "score")

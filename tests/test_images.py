@@ -276,6 +276,13 @@ def test_population(spark, tmp_path):
     assert np.mean(near) > 0.95 and np.array_equal(y, population.layout(spots, ["a", "b"], neighbours=8).toPandas().sort_values("id")[["x", "y"]].to_numpy())
 
 
+def test_curves_have_every_measure(spark):
+    planes = spark.createDataFrame([("s", z, r, c, float((r * 7 + c * 3 + z) % 5)) for z in range(2) for r in range(4) for c in range(5)], "stack_id string, z int, r int, c int, v double")
+    out = {(r.z, r.measure): r.score for r in focus.curves(planes, 4, 5).collect()}
+    assert sorted(out) == [(z, m) for z in range(2) for m in ("brenner", "dct_entropy", "intensity", "vollath_f4")]
+    assert all(out[r.z, "dct_entropy"] == pytest.approx(r.dct_entropy) for r in focus.dct_entropy(planes, 4, 5).collect())
+
+
 def test_layout_of_more_than_twenty_thousand(spark):
     n = 20_500
     spots = spark.range(n).select("id", (F.col("id") % 151).cast("double").alias("a"), F.floor(F.col("id") / 151).cast("double").alias("b"))
