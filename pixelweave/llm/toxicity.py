@@ -1,7 +1,7 @@
 """Toxicity by nearest labelled examples.
 
-Terms are words and their beginnings that occur in toxic examples more often than chance allows. Examples and texts become TF-IDF vectors of
-length one over these terms. The examples stand in an inverted index in blocks; each term knows its greatest weight in
+Terms are all words of the examples; words and beginnings of words that occur in toxic examples more often than chance allows are terms that
+weigh more. Examples and texts become TF-IDF vectors of length one over these terms. The examples stand in an inverted index in blocks; each term knows its greatest weight in
 each block, so a block's cosine is bounded, blocks are scored from the highest bound down, and the search stops as
 soon as no other block can hold a nearer example: the nearest are exact. Their votes, weighted by distance and held back by the share of
 toxic examples, are the score, and they are its evidence.
@@ -21,9 +21,11 @@ from pyspark.sql import functions as F
 from pixelweave.llm.common import filtered, held_out, in_blocks, table
 from pixelweave.llm.labelled import SAMPLE, labelled_sample
 
-#: Terms of the vocabulary at most, bytes of beginnings, neighbours that vote, examples of a block.
+#: Terms that weigh more at most, bytes of beginnings, neighbours that vote, examples of a block.
 TERMS, STEMS, K, BLOCK = 4096, (4, 5, 6), 16, 64
 LIMIT = 0.7
+#: How many times as much they weigh; blocks scored before the bounds are looked at.
+HEAVY, STEP = 8.0, 16
 #: Share of toxic examples among those with a term, at least.
 PURE = 0.5
 #: How much rarer than one in all terms a term by chance must be, as a logarithm.
@@ -48,6 +50,13 @@ def least_shingle(text: str, size: int = 5) -> int:
     return min(zlib.crc32(b" ".join(words[i : i + size])) for i in range(max(1, len(words) - size + 1)))
 
 
+def ranges(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers from each begin to before its end, one range after the other, and the ranges' sizes."""
+    size = (end - begin).astype(np.int64)
+    last = np.cumsum(size)
+    return np.repeat(begin - (last - size), size) + np.arange(last[-1] if len(last) else 0), size
+
+
 class Model:
     """Vocabulary and block-max index of the examples (id, text, label)."""
 
@@ -74,31 +83,36 @@ class Model:
             odds = seen[term] * (p * math.log(p / rate) + (1 - p) * math.log((1 - p) / (1 - rate))) if p > rate else 0
             if p > max(PURE, 2 * rate) and odds > math.log(len(seen)) + SURE:
                 scored.append((-odds, term))
-        chosen = [term for _, term in sorted(scored)[:TERMS]]
-        self.terms = {term: i for i, term in enumerate(sorted(chosen))}
-        self.idf = np.array([1 + math.log((n + 1) / (seen[t] + 1)) for t in sorted(chosen)])
+        chosen = {term for _, term in sorted(scored)[:TERMS]}
+        terms = sorted(chosen.union(*(words_of(text) for _, text, _ in examples)))
+        self.terms = {term: i for i, term in enumerate(terms)}
+        self.idf = np.array([(HEAVY if t in chosen else 1) * (1 + math.log((n + 1) / (seen[t] + 1))) for t in terms])
         self.cache: dict[bytes, tuple[int, ...]] = {}
-        del hits, known
+        del seen, hits, known
         rows = [self.vector(Counter(words_of(text))) for _, text, _ in examples]
         self.cache.clear()
         kept = [i for i, (at, _) in enumerate(rows) if len(at)]
         bare = [i for i, (at, _) in enumerate(rows) if not len(at)]
-        self.none = float((labels[bare].sum() + 0.5) / (len(bare) + 1)) if n else 0.0
+        self.none = float((labels[bare].sum() + rate) / (len(bare) + 1)) if n else 0.0
         self.base = float((labels[kept].sum() + 0.5) / (len(kept) + 1))
         self.ids = np.array([examples[i][0] for i in kept], np.int64)
         self.labels = labels[kept]
         self.blocks = -(-len(kept) // BLOCK)
-        cells = len(self.terms) * self.blocks
         at = np.concatenate([rows[i][0] for i in kept]) if kept else np.zeros(0, np.int64)
         doc = np.repeat(np.arange(len(kept)), [len(rows[i][0]) for i in kept])
         weight = np.concatenate([rows[i][1] for i in kept]) if kept else np.zeros(0)
+        del rows
+        order = np.lexsort((doc, at))
+        at, doc, weight = at[order], doc[order], weight[order]
+        # cells are the blocks that a term occurs in; a term has a range of cells, a cell a range of examples
         cell = at * self.blocks + doc // BLOCK if kept else at
-        order = np.argsort(cell, kind="stable")
-        self.docs, self.weights = doc[order], weight[order]
-        self.edges = np.searchsorted(cell[order], np.arange(cells + 1))
-        self.most = np.zeros((len(self.terms), self.blocks))
-        if kept:
-            np.maximum.at(self.most.reshape(-1), cell, weight)
+        firsts = np.flatnonzero(np.diff(cell, prepend=-1))
+        self.docs, self.weights = doc.astype(np.int32), weight
+        self.edges = np.append(firsts, len(cell)).astype(np.int32)
+        self.block = (doc[firsts] // BLOCK).astype(np.int32)
+        # rounded up, as they are bounds
+        self.most = np.nextafter(np.maximum.reduceat(weight, firsts).astype(np.float32), np.float32(np.inf)) if kept else np.zeros(0, np.float32)
+        self.cells = np.searchsorted(at[firsts], np.arange(len(self.terms) + 1)).astype(np.int32)
 
     def vector(self, own: Counter) -> tuple[np.ndarray, np.ndarray]:
         """Terms and weights of a text, of length one."""
@@ -118,23 +132,28 @@ class Model:
 
     def nearest(self, at: np.ndarray, weight: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
         """Examples of the k greatest cosines above 0, nearest first, ties to the earlier example."""
-        bounds = weight @ self.most[at]
+        cells, size = ranges(self.cells[at], self.cells[at + 1])
+        given, own = np.repeat(weight, size), self.block[cells]
+        bounds = np.bincount(own, weights=given * self.most[cells], minlength=self.blocks)
         order = np.argsort(-bounds, kind="stable")
         order = order[bounds[order] > 0]
+        rank = np.empty(self.blocks, np.int64)
+        rank[order] = np.arange(len(order))
+        turn = rank[own]
         found, cosines, done = np.zeros(0, np.int64), np.zeros(0), 0
         while done < len(order):
             if len(found) == k and cosines[-1] > bounds[order[done]] + 1e-12:
                 break
-            blocks = order[done : done + 4]
-            done += len(blocks)
-            cells = (at[:, None] * self.blocks + blocks[None]).reshape(-1)
-            begin, size = self.edges[cells], self.edges[cells + 1] - self.edges[cells]
-            last = np.cumsum(size)
-            rows = np.repeat(begin - (last - size), size) + np.arange(last[-1])
+            then = done + max(STEP, done)
+            now = np.flatnonzero((turn >= done) & (turn < then))
+            done = then
+            rows, size = ranges(self.edges[cells[now]], self.edges[cells[now] + 1])
             docs = self.docs[rows]
-            hit, where = np.unique(docs, return_inverse=True)
-            scores = np.bincount(where, weights=self.weights[rows] * np.repeat(np.repeat(weight, len(blocks)), size))
-            found, cosines = np.concatenate([found, hit]), np.concatenate([cosines, scores])
+            scores = np.bincount(docs, weights=self.weights[rows] * np.repeat(given[now], size))
+            hit = np.flatnonzero(scores)
+            if len(hit) > k:  # ties with the k-th stay
+                hit = hit[scores[hit] >= np.partition(scores[hit], -k)[-k]]
+            found, cosines = np.concatenate([found, hit]), np.concatenate([cosines, scores[hit]])
             best = np.lexsort((found, -cosines))[:k]
             found, cosines = found[best], cosines[best]
         return found, cosines
@@ -153,7 +172,7 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Scores every whole text by its nearest labelled examples.
 
     One row per input row: the id column, score (0 to 1), predicted (1 from 0.7 on) and evidence (array of example's id, its label
-    and cosine). The examples are ``most`` labelled rows at most, none of them held out. A text without any term, an empty or null one
+    and cosine). The examples are ``most`` labelled rows at most, none of them held out. A text without any word of theirs, an empty or null one
     too, gets the share of toxic examples among such texts, and no evidence; without labels all scores are 0. Repeated rows score alike;
     no rows give none; other columns are dropped.
     """

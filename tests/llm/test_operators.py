@@ -217,6 +217,12 @@ def test_pigeonhole():
             assert index.within(code, radius).tolist() == np.flatnonzero(away <= radius).tolist()
 
 
+def test_toxicity_of_few_examples():
+    rows = [(i, f"plain words of number {i} and more", 0) for i in range(40)] + [(40, "vile rant that is rare enough to stand once", 1)]
+    score, at, cosines = (model := toxicity.Model(rows)).score("vile rant that is rare enough")
+    assert model.ids[at[0]] == 40 and cosines[0] > 0.5 and score > model.score("plain words and more")[0]
+
+
 def test_toxicity_is_exact():
     r = random.Random(4)
     plain, bad = [f"w{i}" for i in range(60)], ["vile", "foul", "nasty"]
