@@ -32,8 +32,8 @@ RUN = re.compile(r"(.)\1+", re.S)
 
 
 def form_of(word: str) -> str:
-    """Letters as X or x, digits as 0, other signs as they are; runs as one, but signs in a run of three or more twice."""
-    spelled = "".join("X" if c.isupper() else "x" if c.isalpha() else "0" if c.isdigit() else c for c in word[:64])
+    """Of the whole word: letters as X or x, digits as 0, other signs as they are; runs as one, but signs in a run of three or more twice."""
+    spelled = "".join("X" if c.isupper() else "x" if c.isalpha() else "0" if c.isdigit() else c for c in word)
     return RUN.sub(lambda m: m[1] * (2 if m[1] not in "Xx0" else 1 + (m[1] == "X")), spelled)
 
 

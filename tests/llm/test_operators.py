@@ -217,6 +217,10 @@ def test_pigeonhole():
             assert index.within(code, radius).tolist() == np.flatnonzero(away <= radius).tolist()
 
 
+def test_form_of_a_long_word():
+    assert quality.form_of("a" * 100 + "?b1") == "x?x0" and quality.form_of("Ab1" * 40 + "!").endswith("0!")
+
+
 def test_toxicity_of_few_examples():
     rows = [(i, f"plain words of number {i} and more", 0) for i in range(40)] + [(40, "vile rant that is rare enough to stand once", 1)]
     score, at, cosines = (model := toxicity.Model(rows)).score("vile rant that is rare enough")
