@@ -25,8 +25,6 @@ SEGMENTS, PLACES = 5, 6
 FEW, AHEAD = 48, 5
 #: Shingles of all texts to compare up to which their sets are broadcast, at four bytes each.
 SENT = 4_000_000
-#: Equal places of two fingerprints below which their texts aren't compared: of 30, three standard deviations less than 24.
-AT_LEAST = 17
 _rng = np.random.default_rng(9)
 FACTORS = _rng.integers(1, 1 << 63, SEGMENTS * PLACES, dtype=np.uint64) * 2 + 1
 TERMS = _rng.integers(0, 1 << 63, SEGMENTS * PLACES, dtype=np.uint64)
@@ -65,6 +63,7 @@ def signature(hashes: np.ndarray) -> tuple[np.ndarray, bytes]:
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(id, component_id): every document with the smallest id that links of at least ``similarity`` (Jaccard, of shingle sets) reach.
 
+    Links are those of pairs that share a key, compared exactly: at a similarity of 0.8 a pair shares none with a chance of 0.005.
     Equal word sequences are one node, whatever their number. A text with fewer words than a shingle is one shingle; texts without words, null
     ones too, are copies of each other. A null id is never the smallest. Repeated rows are repeated; no rows give none; other
     columns are dropped.
@@ -118,14 +117,13 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     linked = components(edges)
     # crowded keys whose texts aren't one component yet: all that are outside their key's largest meet the others
     if crowded.limit(1).count():
-        at = crowded.join(linked.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left").select("key", "node", "sign", F.coalesce("component", "node").alias("component"))
+        at = crowded.join(linked.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left").select("key", "node", F.coalesce("component", "node").alias("component"))
         at = cut(at)
         sizes = at.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k"))
         most = sizes.groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-        split = at.join(most, "key").select("key", "node", "sign", "component", "largest")
-        minor = split.where("component <> largest").select(F.col("key").alias("k"), F.col("node").alias("other"), F.col("sign").alias("s2"), F.col("component").alias("c2"))
-        same = F.size(F.filter(F.sequence(F.lit(1), F.lit(len(FACTORS))), lambda i: F.substring(F.col("sign"), i, 1) == F.substring(F.col("s2"), i, 1)))
-        rest = split.join(minor, (F.col("key") == F.col("k")) & (F.col("component") != F.col("c2"))).where(same >= AT_LEAST)
+        split = at.join(most, "key").select("key", "node", "component", "largest")
+        minor = split.where("component <> largest").select(F.col("key").alias("k"), F.col("node").alias("other"), F.col("component").alias("c2"))
+        rest = split.join(minor, (F.col("key") == F.col("k")) & (F.col("component") != F.col("c2")))
         rest = rest.select(F.least("node", "other").alias("node"), F.greatest("node", "other").alias("other")).distinct()
         linked = components(edges.unionByName(alike(rest)))
     of = nodes.select("node", "least").join(linked.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left")

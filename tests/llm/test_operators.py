@@ -217,6 +217,19 @@ def test_pigeonhole():
             assert index.within(code, radius).tolist() == np.flatnonzero(away <= radius).tolist()
 
 
+def test_near_copies_of_crowded_keys_lose_no_link(spark, monkeypatch):
+    # the first and last share one key, in whose order the other stands between them, and fewer than 17 of 30 places
+    r = random.Random(6)
+    texts = [" ".join(f"w{j}" if r.random() > 0.06 else f"x{i}y{j}" for j in range(40)) for i in range(14)]
+    rows = [(0, texts[2]), (1, texts[6]), (2, texts[5])]
+    (_, a), (_, b) = (copies.signature(copies.shingles(rows[i][1].encode(), 5)[1]) for i in (0, 2))
+    assert sum(x == y for x, y in zip(a, b)) < 17
+    monkeypatch.setattr(copies, "FEW", 1)
+    monkeypatch.setattr(copies, "AHEAD", 1)
+    out = copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), similarity=0.56).collect()
+    assert {x.doc_id: x.component_id for x in out} == {0: 0, 1: 1, 2: 0}
+
+
 def test_form_of_a_long_word():
     assert quality.form_of("a" * 100 + "?b1") == "x?x0" and quality.form_of("Ab1" * 40 + "!").endswith("0!")
 
