@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pixelweave.operators import kernels
+
 KEY = ["image_id", "label"]
 
 
@@ -154,10 +156,11 @@ def disk(radius: int) -> list[tuple[int, int]]:
 
 
 def local_background(pixels: DataFrame, masks: DataFrame, radius: int = 5) -> DataFrame:
-    """(image_id, label, bg_local_mean): mean of the pixels of no object within ``radius`` of an object (without holes)."""
+    """(image_id, label, bg_local_mean): mean of the pixels of no object within ``radius`` of an object; its holes, filled first, aren't among them."""
     steps = F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in disk(radius)])
-    collar = masks.withColumn("o", F.explode(steps)).select("image_id", "label", (F.col("r") + F.col("o.dr")).alias("r"), (F.col("c") + F.col("o.dc")).alias("c")).distinct()
-    collar = collar.join(masks.select("image_id", "r", "c"), ["image_id", "r", "c"], "left_anti")
+    full = kernels.filled_masks(masks)
+    collar = full.withColumn("o", F.explode(steps)).select("image_id", "label", (F.col("r") + F.col("o.dr")).alias("r"), (F.col("c") + F.col("o.dc")).alias("c")).distinct()
+    collar = collar.join(masks.select("image_id", "r", "c"), ["image_id", "r", "c"], "left_anti").join(full, ["image_id", "label", "r", "c"], "left_anti")
     return collar.join(pixels, ["image_id", "r", "c"]).groupBy(*KEY).agg(F.avg("v").alias("bg_local_mean"))
 
 
@@ -187,6 +190,15 @@ def nearest(objects: DataFrame, k: int = 5) -> DataFrame:
     return a.select(*KEY).join(found, KEY, "left")
 
 
+def counted(objects: DataFrame, radii: tuple[int, ...] = (5, 50, 250)) -> DataFrame:
+    """(image_id, label, neighbours_within_R ...): how many other centroids of the image lie within each radius."""
+    a = objects.select("image_id", "label", F.col("centroid_r").alias("y"), F.col("centroid_c").alias("x"))
+    b = a.select("image_id", F.col("label").alias("other"), F.col("y").alias("y2"), F.col("x").alias("x2"))
+    d2 = (F.col("y") - F.col("y2")) * (F.col("y") - F.col("y2")) + (F.col("x") - F.col("x2")) * (F.col("x") - F.col("x2"))
+    pairs = a.join(b, "image_id").withColumn("d2", d2)
+    return pairs.groupBy(*KEY).agg(*[F.count(F.when((F.col("label") != F.col("other")) & (F.col("d2") <= n * n), 1)).alias(f"neighbours_within_{n}") for n in radii])
+
+
 def within(points: DataFrame, radius: float, id_col: str = "id") -> DataFrame:
     """(id, neighbours): how many other points (id, x, y) lie within ``radius``, itself left out.
 

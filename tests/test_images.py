@@ -314,6 +314,21 @@ def test_features_by_family(spark):
     assert row.intensity_cv == 0.0 and row.intensity_radial_variance == pytest.approx(1.0)
 
 
+def test_neighbours_and_background_of_a_ring(spark):
+    from pixelweave.operators import features
+
+    masks = np.zeros((14, 14), int)
+    masks[3:8, 3:8] = 1
+    masks[4:7, 4:7] = 0
+    masks[10:12, 5:6] = 2
+    image = np.full((14, 14), 2.0)
+    image[4:7, 4:7], image[masks > 0] = 90.0, 6.0
+    scene = features.Scene(as_pixels(spark, image), as_pixels(spark, masks, "label"), 14, 14, bg_radius=2)
+    row = features.objects(scene, ["background", "neighbours"]).where("label = 1").first()
+    assert (row.bg_local_mean, row.mean_minus_local_bg, row.mean_over_local_bg, row.total_minus_local_bg, row.total_over_local_bg) == (2.0, 4.0, 3.0, 64.0, 3.0)
+    assert (row.neighbours_within_5, row.neighbours_within_50, row.neighbours_within_250) == (0, 1, 1)
+
+
 def test_sinks(spark, tmp_path):
     from pixelweave.sources import sinks
 
