@@ -1,7 +1,7 @@
 """A quality classifier over random-indexing word vectors.
 
-Every word and every form of a word (its letters, digits and signs, runs shortened) has an index vector, sparse and ternary, that follows from
-a hash. A word's vector is its index vector and the sum of its neighbours' in the labelled sample. A text is the mean of
+Every word, and every form of a word (its letters, digits and signs, runs shortened), has a row of a table by its hash, and so an index vector, sparse and
+ternary; no vocabulary leaves any out. A row's vector is its index vector and the sum of its neighbours' in the labelled sample. A text is the mean of
 its words' vectors and its forms', with the share of words that repeat the one before and its length. Two layers of a network
 in numpy turn that into a logit; a temperature fitted on a part of the sample kept aside makes it a probability.
 """
@@ -11,7 +11,6 @@ from __future__ import annotations
 import math
 import operator
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +18,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 from pixelweave.llm.common import filtered, held_out, in_blocks, table
-from pixelweave.llm.labelled import SAMPLE, labelled_sample
+from pixelweave.llm.labelled import SAMPLE, fitted, labelled_sample
 
 #: Size of vectors, entries of an index vector other than 0, units of the hidden layer.
 SIZE, ENTRIES, HIDDEN = 48, 4, 24
-#: Words and forms with a vector of their own at most; neighbours on either side.
-WORDS, FORMS, REACH = 16_384, 4096, 2
+#: Rows of the tables of words and of forms; neighbours on either side.
+WORDS, FORMS, REACH = 1 << 15, 1 << 12, 2
 LIMIT = 0.5
 #: Words that a worker keeps the rows of.
 CACHE = 1 << 17
@@ -37,12 +36,17 @@ def form_of(word: str) -> str:
     return RUN.sub(lambda m: m[1] * (2 if m[1] not in "Xx0" else 1 + (m[1] == "X")), spelled)
 
 
-def index_vector(word: str) -> np.ndarray:
-    out = np.zeros(SIZE)
-    for i in range(ENTRIES):
-        h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), i)
-        out[h % SIZE] += 1 if h >> 40 & 1 else -1
-    return out
+def hashed(word: str) -> int:
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+
+
+def index_vectors(rows: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and signs of each row's entries other than 0; a row more has signs of 0."""
+    rng = np.random.default_rng(seed)
+    places = np.argsort(rng.random((rows + 1, SIZE), np.float32), axis=1)[:, :ENTRIES].copy()
+    signs = rng.choice((-1.0, 1.0), (rows + 1, ENTRIES))
+    signs[rows] = 0
+    return places, signs
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -53,37 +57,22 @@ class Model:
     """Vectors of words and forms, and the network."""
 
     def __init__(self, examples: list[tuple[int, str, int]], seed: int = 3):
-        words, forms = Counter(), Counter()
-        for _, text, _ in examples:  # split again where needed: words take many times the memory of texts
-            words.update(text.split())
-        for word, n in words.items():
-            forms[form_of(word)] += n
-        pick = lambda c, most: [w for w, n in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:most] if n > 1]
-        self.words = {w: i + 1 for i, w in enumerate(pick(words, WORDS))}
-        self.forms = {w: i + 1 for i, w in enumerate(pick(forms, FORMS))}
-        del words, forms
         self.cache: dict[str, int] = {}
-        tables = []
+        tables = [(n, *index_vectors(n, seed), np.zeros((n + 1) * SIZE)) for seed, n in enumerate((WORDS, FORMS))]
         apart = [-1] * REACH  # between texts
-        every = np.concatenate([np.array(apart, np.int64), *[np.append(self.rows(text.split()), apart) for _, text, _ in examples]])
-        for known, rows in ((self.words, every >> 20), (self.forms, every & 0xFFFFF)):
-            rows = np.where(every < 0, 0, rows)
-            index = np.zeros((len(known) + 1, SIZE))
-            for w, i in known.items():
-                index[i] = index_vector(w)
-            around = np.zeros(index.size)
-            at = np.argsort(-np.abs(index), axis=1, kind="stable")[:, :ENTRIES]
-            sign = np.take_along_axis(index, at, axis=1)
-            for d in range(1, REACH + 1):  # an entry moves one place up for a neighbour on the right, down for one on the left
-                for own, other, turn in ((rows[:-d], rows[d:], 1), (rows[d:], rows[:-d], -1)):
-                    for begin in range(0, len(own), 1 << 19):
-                        o, n = own[begin : begin + (1 << 19)], other[begin : begin + (1 << 19)]
+        for begin in range(0, len(examples), 256):
+            every = np.concatenate([np.array(apart, np.int64), *[np.append(self.rows(text.split()), apart) for _, text, _ in examples[begin : begin + 256]]])
+            for (n, at, sign, around), rows in zip(tables, (every >> 20, every & 0xFFFFF)):
+                rows = np.where(every < 0, n, rows)  # one row more than the table has, without entries
+                for d in range(1, REACH + 1):  # an entry moves one place up for a neighbour on the right, down for one on the left
+                    for own, other, turn in ((rows[:-d], rows[d:], 1), (rows[d:], rows[:-d], -1)):
                         for e in range(ENTRIES):
-                            around += np.bincount(o * SIZE + (at[n, e] + turn) % SIZE, weights=sign[n, e], minlength=index.size)
-            around = around.reshape(index.shape)
-            around[0] = 0
-            length = np.linalg.norm(around, axis=1, keepdims=True)
-            tables.append((index / math.sqrt(ENTRIES) + around / np.maximum(length, 1e-9)).astype(np.float32))
+                            np.add.at(around, own * SIZE + (at[other, e] + turn) % SIZE, sign[other, e])
+        for i, (n, at, sign, around) in enumerate(tables):
+            around = around.reshape(n + 1, SIZE)[:n]
+            around /= np.maximum(np.linalg.norm(around, axis=1, keepdims=True), 1e-9)
+            np.add.at(around, (np.arange(n)[:, None], at[:n]), sign[:n] / math.sqrt(ENTRIES))
+            tables[i] = around.astype(np.float32)
         self.word_vectors, self.form_vectors = tables
         self.net = None
         y = np.array([x[2] for x in examples], float)
@@ -91,15 +80,18 @@ class Model:
         if len(y) and 0 < y.sum() < len(y):
             self.fit(np.array([self.features(text.split()) for _, text, _ in examples]), y, np.random.default_rng(seed))
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"cache": {}}
+
     def rows(self, words: list[str]) -> np.ndarray:
-        """Row of each word, and of its form in the lower 20 bits; 0: none."""
+        """Row of each word, and of its form in the lower 20 bits."""
         cache = self.cache
         if len(cache) > CACHE:
             cache.clear()
         out = np.fromiter((cache.get(w, -1) for w in words), np.int64, len(words))
         for i in np.flatnonzero(out < 0).tolist():
             w = words[i]
-            cache[w] = out[i] = self.words.get(w, 0) << 20 | self.forms.get(form_of(w), 0)
+            cache[w] = out[i] = hashed(w) % WORDS << 20 | hashed(form_of(w)) % FORMS
         return out
 
     def features(self, words: list[str]) -> np.ndarray:
@@ -156,14 +148,13 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     One row per input row: the id column, score (0 to 1) and predicted (1 from 0.5 on). Vectors and network are fitted on ``most`` labelled rows
     at most, none of them held out. An empty or null text has the features of no words; where labels are missing or all alike, every score is
-    their smoothed share of 1 (without any, 0.5). Repeated rows score alike; no rows give none; other columns are dropped.
+    their smoothed share of 1 (without any, 0.5). Very long texts are pooled whole. Repeated rows score alike; no rows give none; other columns are dropped.
     """
     given = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    model = Model(labelled_sample(given, labels, label, most))
-    model.cache.clear()
+    model = fitted(labelled_sample(given, labels, label, most), Model)
 
     def work(columns: list[pa.Array]) -> list:
-        scores = model.scores([x or "" for x in columns[1].to_pylist()])
+        scores = model().scores([x or "" for x in columns[1].to_pylist()])
         return [columns[0], scores, [int(x >= LIMIT) for x in scores]]
 
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("predicted", pa.int32())])
@@ -171,10 +162,13 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def kept(docs: DataFrame, labels: DataFrame, text_col: str = "text", most: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs`` that score ``LIMIT`` or more, with all columns. A classifier that can't be fitted keeps all."""
-    model = Model(labelled_sample(docs, labels, "quality", most))
-    model.cache.clear()
-    return filtered(docs, text_col, lambda texts: [model.net is None or x >= LIMIT for x in model.scores(texts)])
+    """The rows of ``docs`` that score ``LIMIT`` or more, with all columns, whatever their names.
+
+    Null and empty texts score as texts without words; repeated rows stay or go together; no rows give none. A classifier that can't be
+    fitted, as labels are missing or all alike, keeps all.
+    """
+    model = fitted(labelled_sample(docs, labels, "quality", most, text_col), Model)
+    return filtered(docs, text_col, lambda texts: [model().net is None or x >= LIMIT for x in model().scores(texts)])
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
