@@ -19,10 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the session names in spark.checkpoint.dir; only where none is set (tests on one machine) a temporary one."""
+    """The folder that the session names in spark.checkpoint.dir; only where none is set and all runs on one machine, a temporary one."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint"))
     return context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
 
 
@@ -32,6 +35,31 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets the driver's collector find the shuffles of finished steps, whose files Spark then deletes; else they stay until its heap fills up."""
+    spark.sparkContext._jvm.System.gc()
+
+
+def slices(batch: pa.RecordBatch, weigh: int | None, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch that end once their column ``weigh`` holds over ``most`` bytes."""
+    import pyarrow.compute
+
+    start, n = 0, batch.num_rows
+    ends = [n] if n else []
+    if weigh is not None and n:
+        ends, size = [], 0
+        for i, length in enumerate(pyarrow.compute.binary_length(batch.column(weigh)).fill_null(0).to_pylist()):
+            size += length
+            if size > most:
+                ends.append(i + 1)
+                size = 0
+        if not ends or ends[-1] < n:
+            ends.append(n)
+    for end in ends:
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def in_blocks(
     work: Callable[[list[pa.Array]], list], schema: pa.Schema, weigh: int | None = None, most: int = 4_000_000
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -43,31 +71,9 @@ def in_blocks(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            start, n = 0, batch.num_rows
-            ends = [n]
-            if weigh is not None and n:
-                ends, size = [], 0
-                for i, length in enumerate(pa.compute.binary_length(batch.column(weigh)).fill_null(0).to_pylist()):
-                    size += length
-                    if size > most:
-                        ends.append(i + 1)
-                        size = 0
-                if not ends or ends[-1] < n:
-                    ends.append(n)
-            for end in ends:
-                part = batch.slice(start, end - start)
-                start = end
-                if part.num_rows:
-                    out = work(part.columns)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            x if isinstance(x, pa.Array) else pa.array(x, f.type)
-                            for x, f in zip(out, schema, strict=True)
-                        ],
-                        schema=schema,
-                    )
-
-    import pyarrow.compute  # noqa: F401  pa.compute
+            for part in slices(batch, weigh, most):
+                out = work(part.columns)
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
 
     return run
 
@@ -81,13 +87,15 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def filtered(docs: DataFrame, text_col: str, keep: Callable[[list[str]], list[bool]]) -> DataFrame:
-    """The rows of ``docs`` whose text ``keep`` says yes to, with all columns; a null text is an empty one."""
+    """The rows of ``docs`` whose text ``keep`` says yes to, with all columns, whatever their names.
+
+    A null text is an empty one; repeated rows are judged alike; no rows give none. Blocks of texts are bounded in bytes.
+    """
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
+            for part in slices(batch, at):
                 yield part.filter(pa.array(keep([x or "" for x in part.column(at).to_pylist()]), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

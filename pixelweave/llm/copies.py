@@ -8,21 +8,25 @@ place; each segment is indexed with each place deleted; equal keys make candidat
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixelweave.llm.common import cut, free_name, in_blocks
+from pixelweave.llm.common import cut, free_name, in_blocks, tidy
 from pixelweave.llm.graph import components
 
 WORDS, SIMILARITY = 5, 0.8
 #: Segments, and places of a segment: at a similarity of 0.8 a pair shares a key with a chance of 0.995.
 SEGMENTS, PLACES = 5, 6
 #: Texts under a key up to which all pairs are candidates; beyond, each text with so many that follow it in order of their fingerprints, and
-#: then, if that hasn't made one component of them, each outside the largest with all others.
+#: then, if that hasn't made one component of them, each outside the largest with all others, block by block.
 FEW, AHEAD = 48, 5
+#: Texts and shingles of a block, about; columns of the matrices that blocks are compared by.
+BLOCK, BLOCK_SHINGLES, COLUMNS = 1024, 400_000, 2048
 #: Shingles of all texts to compare up to which their sets are broadcast, at four bytes each.
 SENT = 4_000_000
 _rng = np.random.default_rng(9)
@@ -60,72 +64,124 @@ def signature(hashes: np.ndarray) -> tuple[np.ndarray, bytes]:
     return keys.reshape(-1).view(np.int64), (least >> np.uint64(40)).astype(np.uint8).tobytes()
 
 
+def common_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many members each set of ``a`` shares with each of ``b``: products of 0/1 matrices over the members that both sides know."""
+    out = np.zeros((len(a), len(b)), np.float32)
+    sides = []
+    for own in (a, b):
+        flat = np.concatenate(own) if own else np.zeros(0, np.int32)
+        sides.append((flat, np.repeat(np.arange(len(own)), [len(x) for x in own])))
+    both = np.intersect1d(sides[0][0], sides[1][0])
+    if not len(both):
+        return out
+    places = []
+    for flat, row in sides:
+        at = np.minimum(np.searchsorted(both, flat), len(both) - 1)
+        known = both[at] == flat
+        order = np.argsort(at[known], kind="stable")
+        places.append((at[known][order], row[known][order]))
+    for begin in range(0, len(both), COLUMNS):
+        parts = []
+        for (at, row), n in zip(places, out.shape):
+            low, high = np.searchsorted(at, (begin, begin + COLUMNS))
+            part = np.zeros((n, min(COLUMNS, len(both) - begin)), np.float32)
+            part[row[low:high], at[low:high] - begin] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def linked_blocks(similarity: float):
+    """For a cogrouped block: edges between its queries and members of other components, one per query and component."""
+
+    def run(queries: pa.Table, members: pa.Table) -> pa.Table:
+        edges: tuple[list[int], list[int]] = ([], [])
+        if queries.num_rows and members.num_rows:
+            a, b = ([np.asarray(x.values) for x in t["set"].combine_chunks()] for t in (queries, members))
+            size_a, size_b = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+            node_a, node_b = queries["node"].to_numpy(), members["node"].to_numpy()
+            part_a, part_b = queries["component"].to_numpy(), members["component"].to_numpy()
+            shared = common_counts(a, b)
+            near = shared >= similarity * (size_a[:, None] + size_b[None, :] - shared)
+            near &= part_a[:, None] != part_b[None, :]
+            for i in np.flatnonzero(near.any(axis=1)):
+                at = np.flatnonzero(near[i])
+                at = at[np.unique(part_b[at], return_index=True)[1]]
+                edges[0].extend([int(node_a[i])] * len(at))
+                edges[1].extend(node_b[at].tolist())
+        return pa.table({"u": pa.array(edges[0], pa.int64()), "v": pa.array(edges[1], pa.int64())})
+
+    return run
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(id, component_id): every document with the smallest id that links of at least ``similarity`` (Jaccard, of shingle sets) reach.
 
     Links are those of pairs that share a key, compared exactly: at a similarity of 0.8 a pair shares none with a chance of 0.005.
     Equal word sequences are one node, whatever their number. A text with fewer words than a shingle is one shingle; texts without words, null
-    ones too, are copies of each other. A null id is never the smallest. Repeated rows are repeated; no rows give none; other
-    columns are dropped.
+    ones too, are copies of each other; very long texts are compared whole. A null id is never the smallest. Repeated rows are repeated; no rows
+    give none; other columns are dropped.
     """
 
     def mark(columns: list[pa.Array]) -> list:
         found = [shingles(x, words) for x in columns[1].to_pylist()]
         signs = [signature(h) for _, h in found]
-        return [columns[0], [w for w, _ in found], [k for k, _ in signs], [s for _, s in signs]]
+        return [columns[0], [w for w, _ in found], [len(np.unique(h >> np.uint64(32))) for _, h in found], [k for k, _ in signs], [s for _, s in signs]]
 
     def sets(columns: list[pa.Array]) -> list:
         found = [shingles(x, words) for x in columns[0].to_pylist()]
         return [[w for w, _ in found], [np.unique((h >> np.uint64(32)).astype(np.uint32)).view(np.int32) for _, h in found]]
 
     given = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("binary").alias("text"))
-    schema = pa.schema([("id", pa.int64()), ("node", pa.int64()), ("keys", pa.list_(pa.int64())), ("sign", pa.binary())])
-    marked = cut(given.mapInArrow(in_blocks(mark, schema, weigh=1), "id long, node long, keys array<long>, sign binary"))
-    nodes = marked.groupBy("node", "keys", "sign").agg(F.min("id").alias("least"))
-    entries = nodes.select("node", "sign", F.explode("keys").alias("key"))
+    schema = pa.schema([("id", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("keys", pa.list_(pa.int64())), ("sign", pa.binary())])
+    marked = cut(given.mapInArrow(in_blocks(mark, schema, weigh=1), "id long, node long, size int, keys array<long>, sign binary"))
+    nodes = marked.groupBy("node", "size", "keys", "sign").agg(F.min("id").alias("least"))
+    entries = nodes.select("node", "size", F.explode("keys").alias("key"))
     common = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("k"), "n")
-    members = cut(entries.join(common, F.col("key") == F.col("k")).select("key", "node", "sign", "n"))
+    members = cut(entries.join(common, F.col("key") == F.col("k")).select("key", "node", "size", "n"))
+    # a set that is smaller than its partner by more than the similarity can't be alike
+    sizes_fit = F.least("size", "other_size") >= similarity * F.greatest("size", "other_size")
     few = members.where(F.col("n") <= FEW)
-    left, right = few.select("key", "node"), few.select(F.col("key").alias("k"), F.col("node").alias("other"))
-    pairs = left.join(right, (F.col("key") == F.col("k")) & (F.col("node") < F.col("other"))).select("node", "other")
-    # every key has an order of its own, so that a text meets others under each of its keys
-    begin = F.pmod(F.col("key"), F.lit(len(FACTORS))).cast("int")
-    turned = F.concat(F.substr("sign", begin + 1, F.lit(len(FACTORS))), F.substr("sign", F.lit(1), begin))
-    order = Window.partitionBy("key").orderBy(turned, "node")
-    ahead = F.array(*[F.lead("node", i).over(order) for i in range(1, AHEAD + 1)])
+    left, right = few.select("key", "node", "size"), few.select(F.col("key").alias("k"), F.col("node").alias("other"), F.col("size").alias("other_size"))
+    pairs = left.join(right, (F.col("key") == F.col("k")) & (F.col("node") < F.col("other")) & sizes_fit).select("node", "other")
     crowded = members.where(F.col("n") > FEW)
-    many = crowded.select("node", ahead.alias("ahead")).select("node", F.explode("ahead").alias("other")).where("other is not null")
-    pairs = pairs.unionByName(many.select(F.least("node", "other").alias("node"), F.greatest("node", "other").alias("other"))).distinct()
+    any_crowded = crowded.limit(1).count() > 0
+    if any_crowded:
+        # every key has an order of its own, so that a text meets others under each of its keys
+        signs = nodes.select(F.col("node").alias("m"), "sign").join(crowded.select(F.col("node").alias("m")).distinct(), "m")
+        begin = F.pmod(F.col("key"), F.lit(len(FACTORS))).cast("int")
+        turned = F.concat(F.substr("sign", begin + 1, F.lit(len(FACTORS))), F.substr("sign", F.lit(1), begin))
+        order = Window.partitionBy("key").orderBy(turned, "node")
+        ahead = F.array(*[F.lead(F.struct(F.col("node").alias("other"), F.col("size").alias("other_size")), i).over(order) for i in range(1, AHEAD + 1)])
+        many = crowded.join(signs, F.col("node") == F.col("m")).select("node", "size", ahead.alias("ahead"))
+        many = many.select("node", "size", F.explode("ahead").alias("x")).where("x is not null").select("node", "size", "x.other", "x.other_size").where(sizes_fit)
+        pairs = pairs.unionByName(many.select(F.least("node", "other").alias("node"), F.greatest("node", "other").alias("other")))
+    pairs = cut(pairs.distinct())
+    tidy(docs.sparkSession)
     texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("binary").alias("text"))
     kind = pa.schema([("node", pa.int64()), ("set", pa.list_(pa.int32()))])
 
-    def alike(pairs: DataFrame) -> DataFrame:
-        """The pairs whose shingle sets are similar enough, as edges."""
-        pairs = cut(pairs)
-        used = pairs.select("node").union(pairs.select("other")).distinct()
+    def sets_of(used: DataFrame) -> DataFrame:
+        """(node, set): the shingle sets of some nodes, from one text each."""
         wanted = nodes.join(used, "node").select("least")
         own = texts.join(wanted, texts["id"] == wanted["least"]).select("text")
-        found = cut(own.mapInArrow(in_blocks(sets, kind, weigh=0), "node long, set array<int>").dropDuplicates(["node"]))
-        small = (found.agg(F.sum(F.size("set"))).first()[0] or 0) <= SENT
-        found = F.broadcast(found) if small else found
-        a, b = found.select(F.col("node").alias("a"), F.col("set").alias("sa")), found.select(F.col("node").alias("b"), F.col("set").alias("sb"))
-        both = pairs.join(a, F.col("node") == F.col("a")).join(b, F.col("other") == F.col("b"))
-        shared = F.size(F.array_intersect("sa", "sb"))
-        return both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select(F.col("node").alias("u"), F.col("other").alias("v"))
-
-    edges = cut(alike(pairs))
+        return cut(own.mapInArrow(in_blocks(sets, kind, weigh=0), "node long, set array<int>").dropDuplicates(["node"]))
+
+    found = sets_of(pairs.select("node").union(pairs.select("other")).distinct())
+    small = (found.agg(F.sum(F.size("set"))).first()[0] or 0) <= SENT
+    found = F.broadcast(found) if small else found
+    a, b = found.select(F.col("node").alias("a"), F.col("set").alias("sa")), found.select(F.col("node").alias("b"), F.col("set").alias("sb"))
+    both = pairs.join(a, F.col("node") == F.col("a")).join(b, F.col("other") == F.col("b"))
+    shared = F.size(F.array_intersect("sa", "sb"))
+    edges = cut(both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select(F.col("node").alias("u"), F.col("other").alias("v")))
+    del both, found, a, b
+    tidy(docs.sparkSession)
     linked = components(edges)
-    # crowded keys whose texts aren't one component yet: all that are outside their key's largest meet the others
-    if crowded.limit(1).count():
-        at = crowded.join(linked.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-        at = cut(at)
-        sizes = at.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k"))
-        most = sizes.groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-        split = at.join(most, "key").select("key", "node", "component", "largest")
-        minor = split.where("component <> largest").select(F.col("key").alias("k"), F.col("node").alias("other"), F.col("component").alias("c2"))
-        rest = split.join(minor, (F.col("key") == F.col("k")) & (F.col("component") != F.col("c2")))
-        rest = rest.select(F.least("node", "other").alias("node"), F.greatest("node", "other").alias("other")).distinct()
-        linked = components(edges.unionByName(alike(rest)))
+    if any_crowded:
+        rest = _other_components(crowded, linked, sets_of, similarity)
+        if rest is not None:
+            linked = components(edges.unionByName(rest))
+        tidy(docs.sparkSession)
     of = nodes.select("node", "least").join(linked.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left")
     of = of.select("node", "least", F.coalesce("component", "node").alias("component"))
     first = of.groupBy(F.col("component").alias("c")).agg(F.min("least").alias("component_id"))
@@ -133,10 +189,40 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return marked.join(of, F.col("node") == F.col("of")).select(F.col("id").alias(id_col), "component_id")
 
 
+def _other_components(crowded: DataFrame, linked: DataFrame, sets_of, similarity: float) -> DataFrame | None:
+    """Edges between different components under one crowded key: what is outside the key's largest component meets all others.
+
+    Sizes are put in classes so wide that alike sets are in one or in neighbouring ones, and classes are dealt into blocks by
+    hash; a task holds a block of queries and one of members, and no pair is a row of its own. None if every key's texts are one component.
+    """
+    at = crowded.join(linked.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left")
+    at = cut(at.select("key", "node", F.coalesce("component", "node").alias("component"), F.floor(F.ln("size") / math.log(1 / similarity) - 1e-9).cast("int").alias("class"), "size"))
+    sizes = at.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k"))
+    most = sizes.groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    split = at.join(most.withColumnRenamed("key", "k"), F.col("key") == F.col("k")).select("key", "node", "component", "class", "size", (F.col("component") != F.col("largest")).alias("minor"))
+    split = cut(split)
+    if not split.limit(1).count():
+        return None
+    blocks = lambda rows: F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)), F.ceil(F.sum("size") / F.lit(BLOCK_SHINGLES))).cast("int")
+    minor = split.where("minor").withColumn("to", F.explode(F.array(*[F.col("class") + i for i in (-1, 0, 1)])))
+    held = split.groupBy("key", "class").agg(blocks(split).alias("m_blocks"))
+    asked = minor.groupBy("key", F.col("to").alias("class")).agg(blocks(minor).alias("q_blocks"))
+    grid = held.join(asked, ["key", "class"]).select(F.col("key").alias("k"), F.col("class").alias("c"), "m_blocks", "q_blocks")
+    own = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    queries = minor.join(grid, (F.col("key") == F.col("k")) & (F.col("to") == F.col("c"))).select("key", F.col("to").alias("class"), own("q_blocks", 1).alias("q"), every("m_blocks").alias("m"), "node", "component")
+    members = split.join(grid, (F.col("key") == F.col("k")) & (F.col("class") == F.col("c"))).select("key", "class", every("q_blocks").alias("q"), own("m_blocks", 2).alias("m"), "node", "component")
+    found = sets_of(split.select("node").distinct()).withColumnRenamed("node", "n")
+    cell = ["key", "class", "q", "m"]
+    with_set = lambda rows: rows.join(found, F.col("node") == F.col("n")).select(*cell, "node", "component", "set").toDF(*cell, "node", "component", "set").groupBy(*cell)
+    return cut(with_set(queries).cogroup(with_set(members)).applyInArrow(linked_blocks(similarity), "u long, v long").distinct())
+
+
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with the smallest id of their group, one each; all columns stay.
 
-    Rows with a null id stay, as nothing tells them apart. Rows that share such an id and the text are one.
+    Rows with a null id stay, as nothing tells them apart. Of rows that share the id of their group's first, one stays. Null and empty texts are
+    copies of each other; no rows give none.
     """
     columns = docs.columns
     first, times = free_name(columns, "first_of_group"), free_name(columns, "rows_of_id")
