@@ -20,14 +20,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelweave.llm.common import in_blocks, table
+from pixelweave.llm.pagemaker import FAMILIES, made_page
 
 #: Pages that the trees are fitted on, trees, levels of a tree, bins of a feature.
 PAGES, TREES, LEVELS, BINS = 1200, 60, 4, 32
+#: Inside of a tag up to its end; a quote that never ends counts as a sign.
+INSIDE = r"(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'](?=[^>]*\Z))*"
+#: Comments and elements whose inside isn't text. Scripts and styles that never end reach to the page's end; of others only the tag is left out then.
 MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|title|select)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'](?=[^>]*\Z))*)>",
+    rf"<!--.*?(?:-->|\Z)|<(script|style)\b{INSIDE}>.*?(?:</\1\s*>|\Z)|<(noscript|template|textarea|iframe|title|select)\b{INSIDE}>.*?</\2\s*>"
+    rf"|<svg\b{INSIDE}(?<!/)>.*?</svg\s*>|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<inside>{INSIDE})>",
     re.S | re.I,
 )
+TAG_BEGIN = re.compile(r"</?[a-zA-Z]|<!")
 ATTRIBUTE = re.compile(r"\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORDS = re.compile(r"[a-z]+")
 #: Elements whose tags part blocks.
@@ -105,19 +110,19 @@ def parse(page: str) -> list[Node]:
             if link:
                 linked += len(piece)
         at = m.end()
-        name = m[3]
+        name = m["name"]
         if name is None:
             continue
         name = name.lower()
         node.tags += 1
         if name not in BLOCKS:
             if name == "a":
-                link = 0 if m[2] else 1
+                link = 0 if m["end"] else 1
             elif name == "br":
                 pieces.append(" ")
             continue
         flush()
-        if m[2]:
+        if m["end"]:
             up = node
             while up is not root and up.tag != name and not (name == "p" and up.tag != "p"):
                 up = up.parent
@@ -137,17 +142,16 @@ def parse(page: str) -> list[Node]:
         if name in EMPTY:
             continue
         found: set[int] = set()
-        if m[4] and "=" in m[4]:
-            for a in ATTRIBUTE.finditer(m[4]):
+        if "=" in m["inside"]:
+            for a in ATTRIBUTE.finditer(m["inside"]):
                 for word in WORDS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", a[1] or a[2] or a[3] or "").lower()):
                     if (g := GROUP.get(word)) is not None:
                         found.add(g)
         node = Node(name, node, frozenset(found), seen)
         nodes.append(node)
     if at < len(page):
-        tail = page[at:]
-        cut = tail.find("<")  # a tag that never ends is markup, not text
-        pieces.append(tail if cut < 0 or not re.match(r"</?[a-zA-Z!]", tail[cut:]) else tail[:cut])
+        begun = TAG_BEGIN.search(page, at)  # a tag that never ends is markup, not text
+        pieces.append(page[at : begun.start()] if begun else page[at:])
     flush()
     for x in reversed(nodes):
         x.end = max(x.end, x.begin + x.chars)
@@ -209,7 +213,9 @@ class Forest:
         self.edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, BINS + 1)[1:-1])) for f in range(x.shape[1])]
         binned = self.binned(x)
         self.trees, n = [], len(y)
-        useful = [f for f in range(x.shape[1]) if binned[f].min() < binned[f].max()]
+        useful = [f for f in range(x.shape[1]) if binned[f].max() > 1]
+        pairs = [f for f in range(x.shape[1]) if binned[f].min() == 0 and binned[f].max() == 1]
+        ones = np.ascontiguousarray(binned[pairs].T, np.float32)  # features of two bins are summed up together
         logit = np.zeros(n)
         for _ in range(TREES):
             p = 1 / (1 + np.exp(-logit))
@@ -219,6 +225,18 @@ class Forest:
             for depth in range(LEVELS):
                 leaves = 1 << depth
                 best = (np.full(leaves, 1e-6), np.zeros(leaves, np.int64), np.full(leaves, BINS, np.int64))
+                if pairs:
+                    spread = np.zeros((2 * leaves, n), np.float32)
+                    spread[at, np.arange(n)], spread[leaves + at, np.arange(n)] = g, h
+                    total, high = spread.sum(axis=1, keepdims=True), spread @ ones
+                    (ga, ha), (a, b) = (total[:leaves], total[leaves:]), (total[:leaves] - high[:leaves], total[leaves:] - high[leaves:])
+                    gain = a**2 / (b + 1) + (ga - a) ** 2 / (ha - b + 1) - ga**2 / (ha + 1)
+                    gain[(b < 2) | (ha - b < 2)] = 0
+                    f = gain.argmax(axis=1)
+                    top = gain[np.arange(leaves), f]
+                    better = top > best[0]
+                    for store, value in zip(best, (top, np.array(pairs)[f], np.zeros(leaves, np.int64))):
+                        store[better] = value[better]
                 for f in useful:
                     cell = at * BINS + binned[f]
                     a = np.bincount(cell, weights=g, minlength=leaves * BINS).reshape(leaves, BINS).cumsum(axis=1)
@@ -283,108 +301,12 @@ def decode(nodes: list[Node], logits: np.ndarray) -> list[bool]:
     return out
 
 
-# ---- pages made from random templates
-
-
-def _words(r: random.Random, n: int) -> str:
-    out = []
-    for i in range(n):
-        w = "".join(r.choice(("an", "er", "the", "on", "re", "st", "ou", "le", "ch", "én", "ung", "ción")) for _ in range(r.choice((1, 1, 2, 2, 3))))
-        out.append(w.capitalize() if not i else w + r.choice(("", "", "", "", "", "", ",", ".", "!!", "***", " |")))
-    return " ".join(out) + r.choice((".", ".", ""))
-
-
-def made_page(r: random.Random) -> tuple[str, set[str]]:
-    """A page and the texts of its main blocks."""
-    main: set[str] = set()
-    plain = r.random() < 0.3  # no telling names or elements
-    name = lambda *x: "" if r.random() < (0.9 if plain else 0.15) else f' {r.choice(("class", "id", "class"))}="{r.choice(x)}{r.choice(("", "", "-1", " box", "_x"))}"'
-    tag = lambda *x: "div" if plain or r.random() < 0.3 else r.choice(x)
-
-    def text(n: int) -> str:
-        return _words(r, n)
-
-    def own(n: int, inner: str = "") -> str:
-        t = text(n)
-        main.add(" ".join(t.split()))
-        if r.random() < 0.25:
-            k = len(t) // 2
-            a = t.find(" ", k)
-            if a > 0:
-                return f"{t[:a]} <{inner or r.choice(('b', 'em', 'a href=x', 'span'))}>{t[a + 1:]}" + r.choice(("", "</b>"))
-        return t
-
-    def menu(n: int) -> str:
-        items = "".join(f'<li><a href="/{i}">{text(r.randint(1, 3))}</a></li>' for i in range(n))
-        return f"<ul{name('menu', 'nav')}>{items}</ul>" if r.random() < 0.8 else " ".join(f'<a href="/{i}">{text(1)}</a>' for i in range(n))
-
-    def piece() -> str:
-        kind = r.random()
-        if kind < 0.72:
-            n = r.randint(1, 4) if r.random() < 0.25 else int(r.lognormvariate(3.3, 1)) + 1
-            return f"<p>{own(n)}" + r.choice(("</p>", "</p>", "</p>", ""))
-        if kind < 0.8:
-            h = r.choice(("h2", "h3"))
-            return f"<{h}>{own(r.randint(1, 8))}</{h}>"
-        if kind < 0.88:
-            return "<ul>" + "".join(f"<li>{own(r.randint(2, 14))}</li>" for _ in range(r.randint(2, 5))) + "</ul>"
-        if kind < 0.93:
-            return f"<blockquote>{r.choice(('', '<p>'))}{own(r.randint(5, 30))}</blockquote>"
-        if kind < 0.96:
-            return f"<figure><img src=x><figcaption>{own(r.randint(2, 9))}</figcaption></figure>"
-        return f"<pre>{own(r.randint(3, 20))}</pre>"
-
-    def aside() -> str:
-        return r.choice(
-            (
-                lambda: f"<{(t := tag('aside'))}{name('ad', 'ads', 'advert', 'sponsored', 'promo')}>{text(r.randint(2, 40))}</{t}>",
-                lambda: f"<{(t := tag('aside', 'section'))}{name('related', 'more', 'popular')}><h3>{text(2)}</h3>{menu(r.randint(2, 6))}</{t}>",
-                lambda: f"<div{name('share', 'social')}>{menu(r.randint(2, 5))}</div>",
-                lambda: f"<{(t := tag('form', 'section'))}{name('newsletter', 'subscribe', 'search')}><p>{text(r.randint(2, 12))}</p><input name=e><button>{text(1)}</button></{t}>",
-                lambda: f"<{(t := tag('aside'))}{name('sidebar', 'widget')}><h4>{text(2)}</h4><p>{text(r.randint(4, 40))}</p>{menu(r.randint(1, 6))}</{t}>",
-                lambda: f"<div{name('cookie-consent', 'notice', 'alert', 'popup')}>{r.choice(('', '<p>'))}{text(r.randint(3, 30))} <button>{text(1)}</button></div>",
-            )
-        )()
-
-    def talk() -> str:
-        t = tag("section", "aside")
-        each = "".join(f"<{'li' if r.random() < 0.5 else 'div'}{name('comment', 'reply')}><p>{text(2)}</p><p>{text(r.randint(2, 50))}</p></div>" for _ in range(r.randint(1, 6)))
-        return f"<{t} {r.choice(('class', 'id'))}=\"{r.choice(('comments', 'comment-list', 'discussion', 'disqus_thread', 'replies'))}\"><h3>{text(2)}</h3>{each}</{t}>"
-
-    title = own(r.randint(2, 12))
-    content = f"<h1>{title}</h1>" if r.random() < 0.85 else own(r.randint(5, 40))
-    if r.random() < 0.15:
-        content = f"<header>{content}</header>"
-    content += "".join(piece() + (aside() if r.random() < 0.06 else "") for _ in range(r.choice((1, 1, 2, 3, 5, 8, 14))))
-    t = tag("article", "article", "main", "section")
-    body = f"<{t}{name('content', 'post', 'entry-content', 'article-body', 'main', 'story')}>{content}{r.choice(('', aside() if r.random() < 0.3 else ''))}</{t}>"
-    if r.random() < 0.4:
-        body = f"<{(w := tag('main', 'div'))}{name('wrapper', 'container', 'page', 'main')}>{''.join(aside() for _ in range(r.choice((0, 0, 1))))}{body}{talk() if r.random() < 0.3 else ''}</{w}>"
-    elif r.random() < 0.3:
-        body += talk()
-    before = "".join(
-        (
-            f"<{(a := tag('header'))}{name('header', 'masthead', 'top')}><div>{text(r.randint(1, 3))}</div>{menu(3) if r.random() < 0.4 else ''}</{a}>" if r.random() < 0.5 else "",
-            f"<{(b := tag('nav'))}{name('nav', 'menu', 'navbar')}>{menu(r.randint(2, 9))}</{b}>" if r.random() < 0.8 else "",
-            f"<!-- ad {r.randint(0, 9)} -->",
-            f"<div class=\"{r.choice(('ad', 'ads', 'banner', 'promo'))}\">{text(r.randint(1, 40))}</div>" if r.random() < 0.45 else "",
-            aside() if r.random() < 0.3 else "",
-        )
-    )
-    after = "".join(
-        (
-            aside() if r.random() < 0.4 else "",
-            f"<{(c := tag('footer'))}{name('footer', 'copyright', 'bottom')}>{r.choice(('&copy; ', ''))}{text(r.randint(1, 40))}{r.choice(('', '<p>' + text(5), menu(3)))}</{c}>" if r.random() < 0.85 else "",
-        )
-    )
-    return f"<!DOCTYPE html><html><head><title>{text(4)}</title><script>var a='</p>';</script></head><body>{before}{body}{after}" + r.choice(("</body></html>", "")), main
-
-
 @functools.cache
-def forest(pages: int = PAGES, seed: int = 11) -> Forest:
+def forest(pages: int = PAGES, seed: int = 11, families: tuple[str, ...] = tuple(FAMILIES)) -> Forest:
+    """Trees fitted on made pages of some families."""
     r, rows, marks = random.Random(seed), [], []
     for _ in range(pages):
-        page, main = made_page(r)
+        page, main = made_page(r, families)
         nodes = parse(page)
         rows.append(features(nodes))
         own = [x.tag == "" and x.text in main for x in nodes]
