@@ -570,13 +570,27 @@ def scoped_board(spark, sf_dir):
     """The board of the events: every eleventh closes its compartment, every 101st its carrier."""
     s = submissions(spark, sf_dir)
     complete = F.concat(F.when(F.col("closes"), F.array(F.lit("compartment"))).otherwise(F.array().cast("array<string>")), F.when(F.col("job") % 101 == 0, F.array(F.lit("carrier"))).otherwise(F.array().cast("array<string>")))
-    log = s.select("job", F.create_map(F.lit("carrier"), "carrier", F.lit("compartment"), "compartment").alias("scope"), "value", "fail", complete.alias("complete"))
-    return scopes.board(log, PLAN, by="carrier")
+    log = s.select("job", F.create_map(F.lit("carrier"), "carrier", F.lit("compartment"), "compartment").alias("scope"), F.to_json(F.struct("value", "fail")).alias("data"), complete.alias("complete"))
+    return scopes.board(log, PLAN)
 
 
-@query()
+# a unit ends with its own close or its carrier's; an image goes to the next row of its unit, and a row that has any to the next of its carrier
+_BOARD = _SUB.split(",\n  c AS")[0] + """, e AS (SELECT s.job, s.carrier, s.compartment, min(x.job) AS ends FROM s JOIN s x ON s.carrier = x.carrier AND x.job >= s.job AND (x.closes AND x.compartment = s.compartment OR x.job % 101 = 0) GROUP BY ALL),
+  r AS (SELECT job, carrier, compartment FROM s WHERE closes UNION SELECT ends, carrier, compartment FROM e),
+  a AS (SELECT s.job AS image, s.value, s.fail, s.carrier, s.compartment, min(r.job) AS job FROM s JOIN r ON s.carrier = r.carrier AND s.compartment = r.compartment AND r.job >= s.job GROUP BY ALL),
+  u AS (SELECT r.job, r.carrier, r.compartment, coalesce(sum(value) FILTER (NOT fail), 0.0) AS value, count(image) FILTER (NOT fail) AS good, count(image) FILTER (fail) AS bad FROM r LEFT JOIN a ON a.job = r.job AND a.carrier = r.carrier AND a.compartment = r.compartment GROUP BY ALL),
+  t AS (SELECT job, carrier FROM s WHERE job % 101 = 0), b AS (SELECT u.*, (SELECT min(t.job) FROM t WHERE t.carrier = u.carrier AND t.job >= u.job) AS up FROM u WHERE good + bad > 0),
+  w AS (SELECT t.job, count(b.job) AS n, coalesce(sum(b.value), 0.0) AS value, coalesce(sum(good), 0) AS good, coalesce(sum(bad), 0) AS bad FROM t LEFT JOIN b ON b.carrier = t.carrier AND b.up = t.job GROUP BY ALL)
+  SELECT job, NULL::VARCHAR AS level, CASE WHEN fail THEN 'failed' ELSE 'done' END AS state, CASE WHEN NOT fail THEN round(value, 4) + 0.0 END AS value, CASE WHEN fail THEN 'image failed' END AS error, (NOT fail)::INT AS n_jobs, 0 AS n_failed, 1 AS n_inputs FROM s
+  UNION ALL SELECT job, 'compartment', CASE WHEN good + bad > 0 THEN 'done' ELSE 'failed' END, CASE WHEN good + bad > 0 THEN round(value, 4) + 0.0 END, CASE WHEN good + bad = 0 THEN 'no images in this compartment' END, good::INT, bad::INT, good::INT FROM u
+  UNION ALL SELECT job, 'carrier', CASE WHEN n > 0 THEN 'done' ELSE 'failed' END, CASE WHEN n > 0 THEN round(value, 4) + 0.0 END, CASE WHEN n = 0 THEN 'no images in this carrier' END, good::INT, bad::INT, n::INT FROM w"""
+
+
+@query(_BOARD)
 def scope_board(spark, sf_dir):
-    return scoped_board(spark, sf_dir).select("job", "level", "state", F.round("value", 6).alias("value"), "error", F.size("jobs").alias("n_jobs"), F.size("failed").alias("n_failed"), "n_inputs")
+    n_jobs = F.when(F.col("level").isNotNull(), F.size("jobs")).otherwise((F.col("state") == "done").cast("int")).alias("n_jobs")
+    found = scoped_board(spark, sf_dir).select("job", "level", "state", F.get_json_object("result", "$.value").cast("double").alias("value"), "error", n_jobs, F.size("failed").alias("n_failed"), "n_inputs")
+    return rounded(found, "value", digits=4)
 
 
 @query("SELECT CASE WHEN event_id % 97 = 5 THEN 'failed' ELSE 'done' END AS state, count(*) AS n FROM events GROUP BY ALL")
@@ -588,8 +602,7 @@ def board_tallies(spark, sf_dir):
 def lineage_arrays(spark, sf_dir):
     s = submissions(spark, sf_dir)
     keys = ["carrier", "compartment"]
-    closes = s.where("closes").select(*keys, F.col("job").alias("close_job")).distinct()
-    own = s.join(closes, keys).where("close_job >= job").groupBy(*keys, "job", "fail").agg(F.min("close_job").alias("close_job"))
+    own = scopes.closed(s, keys).where("close_job is not null")
     out = own.groupBy(*keys, "close_job").agg(F.sort_array(F.collect_list(F.when(~F.col("fail"), F.col("job")))).alias("jobs"), F.count(F.when(F.col("fail"), 1)).alias("n_failed"))
     return out.where(F.size("jobs") > 0)
 
