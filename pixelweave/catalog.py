@@ -153,9 +153,14 @@ def setting_precedence(spark, sf_dir):
     return orders.select("o_orderkey", filters.setting(given, params, "k", F.lit("default")).alias("setting"))
 
 
-@query("SELECT unnest(['l_discount', 'l_extendedprice', 'l_linenumber', 'l_orderkey', 'l_partkey', 'l_quantity', 'l_suppkey', 'l_tax']) AS feature FROM (SELECT count(*) AS n FROM lineitem) WHERE n > 0")
+_CANDIDATES = {"l_discount": "l_discount", "l_extendedprice": "l_extendedprice", "l_linenumber": "l_linenumber", "l_orderkey": "l_orderkey", "l_partkey": "l_partkey", "l_quantity": "l_quantity", "l_suppkey": "l_suppkey", "l_tax": "l_tax", "even": "3.0", "rare": "CASE WHEN l_orderkey % 5 = 0 THEN l_tax END"}
+
+
+# numbers that are finite in half the rows at least and vary; places, by name or by how a name begins, are none
+@query(" UNION ALL ".join(f"SELECT '{n}' AS feature FROM lineitem HAVING count({x}) >= 0.5 * count(*) AND max({x}) > min({x})" for n, x in _CANDIDATES.items()))
 def feature_selection(spark, sf_dir):
     lines = load(spark, sf_dir, "lineitem").withColumn("even", F.lit(3.0)).withColumn("rare", F.when(F.col("l_orderkey") % 5 == 0, F.col("l_tax")))
+    lines = lines.withColumns({n: F.col("l_tax") for n in ("intensity", "bbox_min_row_px", "weighted_centroid_r", "stage_x_um", "bg_global_mean_c1")})
     return spark.createDataFrame([(n,) for n in population.measured_columns(lines)], "feature string")
 
 
@@ -177,9 +182,9 @@ def neighbours_within_radius(spark, sf_dir):
     return measure.within(points, 5.0)
 
 
-@query(PIX + _OBJECTS + ", p AS (SELECT a.image_id, a.label, sqrt((a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x)) AS d, b.label AS other FROM o a JOIN o b ON a.image_id = b.image_id AND a.label <> b.label), q AS (SELECT *, row_number() OVER (PARTITION BY image_id, label ORDER BY d, other) AS n FROM p) SELECT o.image_id, o.label, " + r6("min(d)", "nn_distance") + ", " + r6("avg(d)", "nn_mean") + " FROM o LEFT JOIN q ON o.image_id = q.image_id AND o.label = q.label AND q.n <= 5 GROUP BY o.image_id, o.label")
+@query(PIX + _OBJECTS + ", p AS (SELECT a.image_id, a.label, sqrt((a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x)) AS d, b.label AS other FROM o a JOIN o b ON a.image_id = b.image_id AND a.label <> b.label), q AS (SELECT *, row_number() OVER (PARTITION BY image_id, label ORDER BY d, other) AS n FROM p) SELECT o.image_id, o.label, " + r6("min(d)", "nn_distance") + ", " + r6("avg(d)", "nn5_mean_distance") + " FROM o LEFT JOIN q ON o.image_id = q.image_id AND o.label = q.label AND q.n <= 5 GROUP BY o.image_id, o.label")
 def k_nearest(spark, sf_dir):
-    return rounded(measure.nearest(measure.base(px(spark, sf_dir))), "nn_distance", "nn_mean")
+    return rounded(measure.nearest(measure.base(px(spark, sf_dir))), "nn_distance", "nn5_mean_distance")
 
 
 @query(PIX + f"SELECT a.image_id, {r6('corr(a.v, b.v)', 'agreement')} FROM pixels a JOIN pixels b ON a.image_id = b.image_id AND a.r = b.r + 3 AND a.c = b.c + 2 GROUP BY a.image_id")
@@ -284,18 +289,22 @@ def texture_scale(spark, sf_dir):
     return texture.scale(pixels(spark, sf_dir), masks(spark, sf_dir)).select("image_id", F.round("scale", 6).alias("scale"))
 
 
+# moments of whole numbers from exact sums of their powers
+_MOMENTS = """su AS (SELECT image_id, label, CAST(count(*) AS DOUBLE) AS n, CAST(sum(CAST({1} AS BIGINT)) AS DOUBLE) AS s1, CAST(sum(CAST({1} AS BIGINT) ** 2) AS DOUBLE) AS s2, CAST(sum(CAST({1} AS BIGINT) ** 3) AS DOUBLE) AS s3, CAST(sum(CAST({1} AS BIGINT) ** 4) AS DOUBLE) AS s4 FROM {0} GROUP BY ALL),
+  av AS (SELECT image_id, label, s1 / n AS a, s2 / n AS b2, s3 / n AS b3, s4 / n AS b4 FROM su),
+  mo AS (SELECT image_id, label, b2 - a * a AS m2, b3 - 3 * a * b2 + 2 * a * a * a AS m3, b4 - 4 * a * b3 + 6 * a * a * b2 - 3 * a * a * a * a AS m4 FROM av)"""
+_SKEW = "round(CASE WHEN m2 > 1e-9 THEN m3 / (m2 * sqrt(m2)) END, 6) + 0.0 AS {0}_skewness, round(CASE WHEN m2 > 1e-9 THEN m4 / (m2 * m2) - 3 END, 6) + 0.0 AS {0}_kurtosis"
 _LEVELS = ", lv AS (SELECT image_id, label, r, c, CAST(floor(greatest(0.0, least({0}.0, v / scale * {0}.0))) AS INTEGER) AS q FROM px JOIN scales USING (image_id))"
 
 
 @query(PIX + _SCALE + _LEVELS.format(255) + f""", k AS (SELECT image_id, label, q, count(*) AS k FROM lv GROUP BY ALL), p AS (SELECT *, k / sum(k) OVER (PARTITION BY image_id, label) AS p FROM k),
-  hi AS (SELECT image_id, label, sum(p * p) AS u, greatest(0.0, -sum(p * log2(p))) AS e FROM p GROUP BY ALL),
-  mu AS (SELECT image_id, label, avg(q) AS a FROM lv GROUP BY ALL),
-  mo AS (SELECT image_id, label, avg(pow(q - a, 2)) AS m2, avg(pow(q - a, 3)) AS m3, avg(pow(q - a, 4)) AS m4 FROM lv JOIN mu USING (image_id, label) GROUP BY ALL)
-  SELECT image_id, label, {r6('u', 'intensity_uniformity')}, {r6('e', 'intensity_entropy')}, {r6('CASE WHEN m2 > 0 THEN m3 / pow(m2, 1.5) END', 'intensity_skewness')}, {r6('CASE WHEN m2 > 0 THEN m4 / (m2 * m2) - 3 END', 'intensity_kurtosis')} FROM hi JOIN mo USING (image_id, label)""")
+  hi AS (SELECT image_id, label, sum(k * k) / (sum(k) * sum(k)) AS u, greatest(0.0, -sum(p * log2(p))) AS e FROM p GROUP BY ALL),
+{_MOMENTS.format('lv', 'q')}
+  SELECT image_id, label, u AS intensity_uniformity, {r6('e', 'intensity_entropy')}, {_SKEW.format('intensity')} FROM hi JOIN mo USING (image_id, label)""")
 def histogram_texture(spark, sf_dir):
     own = pixels(spark, sf_dir)
     found = texture.histogram(px(spark, sf_dir), texture.scale(own, masks(spark, sf_dir)))
-    return rounded(found, "intensity_uniformity", "intensity_entropy", "intensity_skewness", "intensity_kurtosis")
+    return rounded(found, "intensity_entropy", "intensity_skewness", "intensity_kurtosis")
 
 
 @query(PIX + _SCALE + _LEVELS.format(15) + """, w AS (SELECT image_id, label, q + 1 AS g, unnest([{'way': 0, 'line': r, 'place': c}, {'way': 1, 'line': c, 'place': r}, {'way': 2, 'line': r - c, 'place': r}, {'way': 3, 'line': r + c, 'place': r}]) AS s FROM lv),
@@ -317,10 +326,24 @@ def radius_of_gyration(spark, sf_dir):
     return rounded(measure.gyration(px(spark, sf_dir)), "radius_of_gyration", "intensity_radial_variance")
 
 
-@query()
+_RING = "[" + ", ".join(f"{{'bit': {1 << i}, 'y': {d}, 'x': {e}}}" for i, (d, e) in enumerate([(0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1), (1, 0), (1, 1)])) + "]"
+
+
+# a pixel of eight bits against eight places on a circle around it: those on diagonals lie between four pixels, beyond the image all is 0
+@query(PIX + _SCALE + f""", b8 AS (SELECT image_id, r, c, CAST(floor(greatest(0.0, least(255.0, v / scale * 255.0))) AS BIGINT) AS v FROM pixels JOIN scales USING (image_id)),
+  pl AS (SELECT image_id, r, c, v, unnest({_RING}) AS o FROM b8),
+  nb AS (SELECT pl.image_id, pl.r, pl.c, pl.v, o.bit AS bit, o.y <> 0 AND o.x <> 0 AS corner, coalesce(n.v, 0) AS n, coalesce(y.v, 0) AS y, coalesce(x.v, 0) AS x FROM pl
+    LEFT JOIN b8 n ON n.image_id = pl.image_id AND n.r = pl.r + o.y AND n.c = pl.c + o.x LEFT JOIN b8 y ON y.image_id = pl.image_id AND y.r = pl.r + o.y AND y.c = pl.c LEFT JOIN b8 x ON x.image_id = pl.image_id AND x.r = pl.r AND x.c = pl.c + o.x),
+  pt AS (SELECT image_id, r, c, CAST(sum(CASE WHEN round(CASE WHEN corner THEN v * 0.0857910841 + (y + x) * 0.2071089159 + n * 0.4999910841 ELSE n END - v, 6) >= 0 THEN bit ELSE 0 END) AS INTEGER) AS q FROM nb GROUP BY ALL),
+  lb AS (SELECT image_id, label, q FROM masks JOIN pt USING (image_id, r, c)), k AS (SELECT image_id, label, q, count(*) AS k FROM lb GROUP BY ALL), p AS (SELECT *, k / sum(k) OVER (PARTITION BY image_id, label) AS p FROM k),
+  hi AS (SELECT image_id, label, sum(k * k) / (sum(k) * sum(k)) AS u, greatest(0.0, -sum(p * log2(p))) AS e FROM p GROUP BY ALL), mean AS (SELECT image_id, label, avg(q) AS q, stddev_pop(q) AS s FROM lb GROUP BY ALL),
+  {_MOMENTS.format('lb', 'q')}
+  SELECT image_id, label, {r6('q', 'lbp_mean')}, {r6('s', 'lbp_std')}, u AS lbp_energy, {r6('e', 'lbp_entropy')}, {_SKEW.format('lbp')} FROM hi JOIN mo USING (image_id, label) JOIN mean USING (image_id, label)""")
 def lbp_stats(spark, sf_dir):
-    found = texture.lbp_stats(texture.binary_patterns(pixels(spark, sf_dir), H, W), masks(spark, sf_dir))
-    return found
+    own = pixels(spark, sf_dir)
+    eight = texture.eight_bit(own, texture.scale(own, masks(spark, sf_dir)))
+    found = texture.lbp_stats(texture.binary_patterns(eight, H, W), masks(spark, sf_dir))
+    return rounded(found, *[f"lbp_{n}" for n in "mean std entropy skewness kurtosis".split()])
 
 
 @query(STACK + ", m AS (SELECT image_id, r, c, CAST(r // 4 + 1 AS INTEGER) AS label FROM stack WHERE ch = 0 AND z = 0 AND c < 9) SELECT m.image_id, m.label, " + ", ".join(r6(f"avg(s.v) FILTER (s.ch = {i})", f"mean_c{i}") for i in (0, 1)) + " FROM m JOIN stack s USING (image_id, r, c) WHERE s.z = 0 GROUP BY ALL")
@@ -363,21 +386,31 @@ def intensity_focus(spark, sf_dir):
   f AS (SELECT *, a > 0 AND s > 0 AND b > 0 AS logs FROM t WHERE rk = 1),
   g AS (SELECT *, CASE WHEN logs THEN ln(a) ELSE a END AS la, CASE WHEN logs THEN ln(s) ELSE s END AS ls, CASE WHEN logs THEN ln(b) ELSE b END AS lb FROM f),
   h AS (SELECT stack_id, i AS best, coalesce(a < s AND b < s, false) AS found, CASE WHEN a IS NOT NULL AND b IS NOT NULL AND la - 2 * ls + lb < 0 THEN i + 0.5 * (la - lb) / (la - 2 * ls + lb) ELSE i END AS refined FROM g)
-  SELECT stack_id, CAST(best AS INTEGER) AS best, found, round(refined, 4) + 0.0 AS refined, round(100 + 2 * least(greatest(refined, 0), 4), 4) + 0.0 AS z_um FROM h""")
+  SELECT stack_id, CAST(best AS INTEGER) AS best, found, round(refined, 4) + 0.0 AS refined, CASE WHEN found THEN round(100 + 2 * least(greatest(refined, 0), 4), 4) + 0.0 END AS z_um FROM h""")
 def focus_peak(spark, sf_dir):
     own = planes(spark, sf_dir)
     heights = own.select("stack_id", "z").distinct().withColumn("z_um", 100.0 + 2.0 * F.col("z"))
     return rounded(focus.peak(rounded(focus.brenner(own), "brenner"), "brenner", 1, heights), "refined", "z_um", digits=4)
 
 
-@query()
+# an orthonormal cosine transform as two sums over its basis, rows 12 and columns 14 of a plane
+_BASIS = "{0} AS (SELECT k, i, sqrt(CASE WHEN k = 0 THEN 1 ELSE 2 END / {1}.0) * cos(pi() * (2 * i + 1) * k / {2}.0) AS w FROM range({1}) a(k), range({1}) b(i))"
+_DCT = f""", {_BASIS.format('bx', 14, 28)}, {_BASIS.format('by_', 12, 24)}, t1 AS (SELECT stack_id, z, r, k AS kx, sum(v * w) AS t FROM planes JOIN bx ON bx.i = planes.c GROUP BY ALL),
+  t2 AS (SELECT stack_id, z, kx, k AS ky, pow(sum(t * w), 2) AS e FROM t1 JOIN by_ ON by_.i = t1.r GROUP BY ALL), t3 AS (SELECT stack_id, z, e / sum(e) OVER (PARTITION BY stack_id, z) AS p FROM t2 WHERE kx > 0 OR ky > 0),
+  dct AS (SELECT stack_id, z, coalesce(-sum(p * log2(p)) FILTER (p > 0), 0) AS s FROM t3 GROUP BY ALL)"""
+
+
+@query(_PL + _DCT + f"SELECT stack_id, z, {r6('s', 'dct_entropy')} FROM dct")
 def dct_entropy(spark, sf_dir):
-    return focus.dct_entropy(planes(spark, sf_dir), 12, 14)
+    return rounded(focus.dct_entropy(planes(spark, sf_dir), 12, 14), "dct_entropy")
 
 
-@query()
+@query(_BR + _DCT + f""", vo AS (SELECT stack_id, z, avg(CASE WHEN x2 IS NOT NULL THEN v * x1 - v * x2 END) + avg(CASE WHEN y2 IS NOT NULL THEN v * y1 - v * y2 END) AS s FROM ah GROUP BY ALL),
+  ed AS (SELECT stack_id, z, quantile_cont(v, 0.99) AS edge FROM planes GROUP BY ALL), it AS (SELECT stack_id, z, avg(v) AS s FROM planes JOIN ed USING (stack_id, z) WHERE v >= edge GROUP BY ALL),
+  al AS (SELECT *, 'brenner' AS measure FROM br UNION ALL SELECT *, 'vollath_f4' FROM vo UNION ALL SELECT *, 'intensity' FROM it UNION ALL SELECT *, 'dct_entropy' FROM dct)
+  SELECT stack_id, z, measure, {r6('s', 'score')} FROM al""")
 def focus_curves(spark, sf_dir):
-    return focus.curves(planes(spark, sf_dir), 12, 14)
+    return rounded(focus.curves(planes(spark, sf_dir), 12, 14), "score")
 
 
 # ---- windows and sets
@@ -439,12 +472,9 @@ def short_names(spark, sf_dir):
     return load(spark, sf_dir, "pages").select("page_id", table.short_name(path).alias("name"))
 
 
-_IDENTITY = "'{' || " + " || ',' || ".join(f"'\"{k}\":' || " + ("'\"m\"'" if k == "model" else "CAST(p_size AS VARCHAR)" if k == "binning" else "'null'") for k in sorted(table.IDENTITY)) + " || '}'"
-
-
-@query(f"SELECT p_partkey, sha256({_IDENTITY}) AS identity FROM part")
+@query("""SELECT p_partkey, sha256('{"cellprob_threshold":null,"channels":null,"diameter":' || p_size || ',"flow_threshold":null,"method":"fast","niter":null,"segmentation_binning":null,"threshold":null,"z_selection":"max"}') AS identity FROM part""")
 def segmentation_identity(spark, sf_dir):
-    given = F.create_map(F.lit("model"), F.lit('"m"'), F.lit("binning"), F.col("p_size").cast("string"))
+    given = F.create_map(F.lit("method"), F.lit('"fast"'), F.lit("z_selection"), F.lit('"max"'), F.lit("diameter"), F.col("p_size").cast("string"), F.lit("min_area_px"), F.lit("3"))
     return load(spark, sf_dir, "part").select("p_partkey", table.identity_column(given).alias("identity"))
 
 
@@ -471,10 +501,13 @@ def bilinear_zoom(spark, sf_dir):
     return rounded(resample.bilinear_zoom(pixels(spark, sf_dir), (H, W), (60, 72)), "v", digits=4)
 
 
-_LAYOUT = "list_value(" + ", ".join(f"{{'residual': sqrt(pow(a - ({m[0][0]}), 2) + pow(b - ({m[0][1]}), 2) + pow(x - ({m[1][0]}), 2) + pow(y - ({m[1][1]}), 2)), 'n': {n}, 'layout': '{k}'}}" for n, (k, m) in enumerate(align.LAYOUTS.items())) + ")"
+_LAYOUT = "list_value(" + ", ".join(
+    f"{{'residual': sqrt(pow(a - ({m[0][0]}), 2) + pow(b - ({m[0][1]}), 2) + pow(x - ({m[1][0]}), 2) + pow(y - ({m[1][1]}), 2)), 'n': {n}, 'turn': {turn}, 'mirror': {str(mirror).lower()}, 'sx': '{align.signed_axis(m[0])}', 'sy': '{align.signed_axis(m[1])}'}}"
+    for n, ((turn, mirror), m) in enumerate(align.LAYOUTS.items())
+) + ")"
 
 
-@query(f"SELECT case_id, m.layout AS layout, {r6('m.residual', 'residual')} FROM (SELECT case_id, list_sort({_LAYOUT})[1] AS m FROM (SELECT c_custkey AS case_id, (c_custkey % 7 - 3) / 3.0 AS a, (c_custkey % 5 - 2) / 2.0 AS b, (c_custkey % 11 - 5) / 5.0 AS x, (c_custkey % 3 - 1) / 1.0 AS y FROM customer))")
+@query(f"SELECT case_id, m.turn AS rotation_deg, m.mirror AS reflection, m.sx AS stage_x_from_image, m.sy AS stage_y_from_image, {r6('m.residual', 'residual')} FROM (SELECT case_id, list_sort({_LAYOUT})[1] AS m FROM (SELECT c_custkey AS case_id, (c_custkey % 7 - 3) / 3.0 AS a, (c_custkey % 5 - 2) / 2.0 AS b, (c_custkey % 11 - 5) / 5.0 AS x, (c_custkey % 3 - 1) / 1.0 AS y FROM customer))")
 def nearest_layout(spark, sf_dir):
     k = F.col("c_custkey")
     rows = load(spark, sf_dir, "customer").select(k.alias("case_id"), ((k % 7 - 3) / 3.0).alias("m00"), ((k % 5 - 2) / 2.0).alias("m01"), ((k % 11 - 5) / 5.0).alias("m10"), ((k % 3 - 1) / 1.0).alias("m11"))
@@ -683,8 +716,8 @@ def phase_shifts(spark, sf_dir):
     return kernels.shifts(a.unionByName(b))
 
 
-@query(PIX + f""", o AS (SELECT image_id, label, count(*) AS area_px, {r6('avg(r)')} AS y, {r6('avg(c)')} AS x FROM px GROUP BY ALL)
-  SELECT 'R' || (image_id % 3) || '_r' || lpad(CAST(image_id % 1000 AS VARCHAR), 3, '0') || '_c007_obj' || lpad(CAST(label AS VARCHAR), 5, '0') AS id, area_px, round(1000 + (x - {W / 2}) * 2, 4) + 0.0 AS stage_x_um, round(2000 + (y - {H / 2}) * 3, 4) + 0.0 AS stage_y_um FROM o""")
+@query(PIX + f""", o AS (SELECT image_id, label, count(*) AS area, {r6('avg(r)')} AS y, {r6('avg(c)')} AS x FROM px GROUP BY ALL)
+  SELECT 'R' || (image_id % 3) || '_r' || lpad(CAST(image_id % 1000 AS VARCHAR), 3, '0') || '_c007_obj' || lpad(CAST(label AS VARCHAR), 5, '0') AS object_id, area, round(1000 + (x - {W / 2}) * 2, 4) + 0.0 AS stage_x_um, round(2000 + (y - {H / 2}) * 3, 4) + 0.0 AS stage_y_um FROM o""")
 def object_table(spark, sf_dir):
     """Images to named, placed objects: the flagship."""
     own = measure.derived(measure.base(px(spark, sf_dir)))
@@ -694,4 +727,4 @@ def object_table(spark, sf_dir):
         k.alias("image_id"), F.array(F.concat(F.lit("R"), (k % 3).cast("string")), (k % 1000).cast("string"), F.lit("7")).alias("tile_id"), arr(1000.0, 2000.0).alias("stage_xy"), arr(2.0, 3.0).alias("pixel_xy"), arr(W, H).alias("size_xy"), F.array(arr(1.0, 0.0), arr(0.0, 1.0)).alias("matrix")
     )
     found = table.object_table(own, tiles)
-    return rounded(found.select("id", "area_px", "stage_x_um", "stage_y_um"), "stage_x_um", "stage_y_um", digits=4)
+    return rounded(found.select("object_id", "area", "stage_x_um", "stage_y_um"), "stage_x_um", "stage_y_um", digits=4)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pixelweave.operators import kernels
+
 PLANE = ["stack_id", "z"]
 
 
@@ -73,17 +77,18 @@ def peak(curve: DataFrame, score: str, skip: int = 2, heights: DataFrame | None
 
 
 def at_height(peaks: DataFrame, heights: DataFrame) -> DataFrame:
-    """z_um at the refined place, between the planes on either side and never beyond the ends."""
+    """z_um at the refined place, between the planes on either side and never beyond the ends; null without a peak."""
     order = Window.partitionBy("stack_id").orderBy("z")
     h = heights.withColumn("i", F.row_number().over(order) - 1).select(F.col("stack_id").alias("s"), "i", "z_um", F.lead("z_um").over(order).alias("next_um"), F.count(F.lit(1)).over(Window.partitionBy("stack_id")).alias("n"))
     joined = peaks.join(h, F.col("stack_id") == F.col("s"))
     place = F.least(F.greatest(F.col("refined"), F.lit(0.0)), (F.col("n") - 1).cast("double"))
     joined = joined.withColumn("place", place).where(F.col("i") == F.floor("place"))
-    return joined.select("stack_id", "best", "found", "refined", (F.col("z_um") + (F.col("place") - F.col("i")) * F.coalesce(F.col("next_um") - F.col("z_um"), F.lit(0.0))).alias("z_um"))
+    z = F.col("z_um") + (F.col("place") - F.col("i")) * F.coalesce(F.col("next_um") - F.col("z_um"), F.lit(0.0))
+    return joined.select("stack_id", "best", "found", "refined", F.when(F.col("found"), z).alias("z_um"))
 
 
 def sharp_height(curve: DataFrame, score: str) -> DataFrame:
-    """(stack_id, z_um, bracketed) for a registration: no planes are skipped, the parabola goes through the scores; not bracketed at an end: no height.
+    """(stack_id, z_um, bracketed) for a registration: no planes are skipped, the parabola goes through the scores; at an end, not bracketed, the plane's own height.
 
     curve(stack_id, z, z_um, score).
     """
@@ -94,29 +99,20 @@ def sharp_height(curve: DataFrame, score: str) -> DataFrame:
     best = wide.withColumn("rank", F.row_number().over(Window.partitionBy("stack_id").orderBy(F.desc(score), "z"))).where("rank = 1")
     bend, step = F.col("a") - 2 * s + F.col("b"), (F.col("upper") - F.col("lower")) / 2
     inside = F.col("a").isNotNull() & F.col("b").isNotNull()
-    z = F.when(inside, F.when(bend < 0, F.col("z_um") + 0.5 * (F.col("a") - F.col("b")) / bend * step).otherwise(F.col("z_um")))
+    z = F.when(inside & (bend < 0), F.col("z_um") + 0.5 * (F.col("a") - F.col("b")) / bend * step).otherwise(F.col("z_um"))
     return best.select("stack_id", z.alias("z_um"), inside.alias("bracketed"))
 
 
 def dct_entropy(planes: DataFrame, height: int, width: int) -> DataFrame:
-    """Entropy, in bits, of a plane's energy over the orthonormal cosine transform, the constant part left out.
-
-    A matrix product as two joins with tables of cosines; their sizes are the plane's.
-    """
-    from math import cos, pi, sqrt
-
-    spark = planes.sparkSession
+    """Entropy, in bits, of a plane's energy over the orthonormal cosine transform, the constant part left out. One group per plane, two matrix products."""
+    kinds = {f.name: f.dataType.simpleString() for f in planes.schema}
 
-    def basis(n: int, k: str, i: str, w: str) -> DataFrame:
-        rows = [(a, b, sqrt((1 if a == 0 else 2) / n) * cos(pi * (2 * b + 1) * a / (2 * n))) for a in range(n) for b in range(n)]
-        return spark.createDataFrame(rows, f"{k} int, {i} int, {w} double")
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        a = np.zeros((height, width))
+        a[rows["r"].to_numpy(), rows["c"].to_numpy()] = rows["v"].to_numpy()
+        return pd.DataFrame({"stack_id": rows["stack_id"].iloc[:1], "z": rows["z"].iloc[:1], "dct_entropy": [kernels.dct_entropy(a)]})
 
-    across = planes.join(basis(width, "kx", "c", "wx"), "c").groupBy(*PLANE, "r", "kx").agg(F.sum(F.col("v") * F.col("wx")).alias("t"))
-    both = across.join(basis(height, "ky", "r", "wy"), "r").groupBy(*PLANE, "kx", "ky").agg(F.sum(F.col("t") * F.col("wy")).alias("t"))
-    energy = both.where("kx > 0 or ky > 0").withColumn("e", F.col("t") * F.col("t"))
-    share = F.try_divide("e", F.sum("e").over(Window.partitionBy(*PLANE)))
-    energy = energy.withColumn("p", share)
-    return energy.groupBy(*PLANE).agg(F.coalesce(-F.sum(F.when(F.col("p") > 0, F.col("p") * F.log2("p"))), F.lit(0.0)).alias("dct_entropy"))
+    return planes.groupBy(*PLANE).applyInPandas(one, f"stack_id {kinds['stack_id']}, z {kinds['z']}, dct_entropy double")
 
 
 def curves(planes: DataFrame, height: int, width: int, percentile: float = 99.0) -> DataFrame:

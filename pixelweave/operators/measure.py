@@ -151,33 +151,26 @@ def global_background(pixels: DataFrame, masks: DataFrame) -> DataFrame:
     return marked.groupBy("image_id").agg(F.avg(F.when(F.col("inside").isNull(), F.col("v"))).alias("bg_global_mean"))
 
 
-def disk(radius: int) -> list[tuple[int, int]]:
-    return [(a, b) for a in range(-radius, radius + 1) for b in range(-radius, radius + 1) if a * a + b * b <= radius * radius]
-
-
 def local_background(pixels: DataFrame, masks: DataFrame, radius: int = 5) -> DataFrame:
     """(image_id, label, bg_local_mean): mean of the pixels of no object within ``radius`` of an object; its holes, filled first, aren't among them."""
-    steps = F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in disk(radius)])
-    full = kernels.filled_masks(masks)
-    collar = full.withColumn("o", F.explode(steps)).select("image_id", "label", (F.col("r") + F.col("o.dr")).alias("r"), (F.col("c") + F.col("o.dc")).alias("c")).distinct()
-    collar = collar.join(masks.select("image_id", "r", "c"), ["image_id", "r", "c"], "left_anti").join(full, ["image_id", "label", "r", "c"], "left_anti")
-    return collar.join(pixels, ["image_id", "r", "c"]).groupBy(*KEY).agg(F.avg("v").alias("bg_local_mean"))
+    marked = pixels.join(masks.select("image_id", "r", "c", "label"), ["image_id", "r", "c"], "left")
+    return kernels.local_backgrounds(marked, radius)
 
 
 def against_local(objects: DataFrame) -> DataFrame:
-    """Means and totals less, and over, the local background."""
+    """Means and totals less, and over, the local background; a total is set over the background of one pixel."""
     bg, total = F.col("bg_local_mean"), F.col("mean") * F.col("area")
     return objects.select(
         *KEY,
         (F.col("mean") - bg).alias("mean_minus_local_bg"),
         F.when(bg > 0, F.col("mean") / bg).alias("mean_over_local_bg"),
         (total - bg * F.col("area")).alias("total_minus_local_bg"),
-        F.when(bg > 0, total / (bg * F.col("area"))).alias("total_over_local_bg"),
+        F.when(bg > 0, total / bg).alias("total_over_local_bg"),
     )
 
 
 def nearest(objects: DataFrame, k: int = 5) -> DataFrame:
-    """(image_id, label, nn_distance, nn_mean): distance of the nearest other centroid, and the mean of the k nearest (of all, if fewer).
+    """(image_id, label, nn_distance, nn{k}_mean_distance): distance of the nearest other centroid, and the mean of the k nearest (of all, if fewer).
 
     Objects of one image are compared, so that the join's key is the image.
     """
@@ -186,7 +179,7 @@ def nearest(objects: DataFrame, k: int = 5) -> DataFrame:
     apart = F.sqrt((F.col("y") - F.col("y2")) * (F.col("y") - F.col("y2")) + (F.col("x") - F.col("x2")) * (F.col("x") - F.col("x2")))
     pairs = a.join(b, "image_id").where("label <> other").withColumn("d", apart)
     ranked = pairs.withColumn("n", F.row_number().over(Window.partitionBy(*KEY).orderBy("d", "other"))).where(F.col("n") <= k)
-    found = ranked.groupBy(*KEY).agg(F.min("d").alias("nn_distance"), F.avg("d").alias("nn_mean"))
+    found = ranked.groupBy(*KEY).agg(F.min("d").alias("nn_distance"), F.avg("d").alias(f"nn{k}_mean_distance"))
     return a.select(*KEY).join(found, KEY, "left")
 
 
@@ -199,18 +192,20 @@ def counted(objects: DataFrame, radii: tuple[int, ...] = (5, 50, 250)) -> DataFr
     return pairs.groupBy(*KEY).agg(*[F.count(F.when((F.col("label") != F.col("other")) & (F.col("d2") <= n * n), 1)).alias(f"neighbours_within_{n}") for n in radii])
 
 
-def within(points: DataFrame, radius: float, id_col: str = "id") -> DataFrame:
-    """(id, neighbours): how many other points (id, x, y) lie within ``radius``, itself left out.
+def within(points: DataFrame, radius: float, id_col: str = "id", image_col: str | None = None) -> DataFrame:
+    """([image,] id, neighbours): how many other points (id, x, y) lie within ``radius``, itself left out; with ``image_col``, of the same image alone.
 
     A range join by buckets: a point meets the points of its cell and of the eight around it, which a grid of ``radius`` makes enough.
     """
     cell = lambda c: F.floor(F.col(c) / radius)
-    left = points.select(F.col(id_col).alias("id"), "x", "y", cell("x").alias("cx"), cell("y").alias("cy"))
+    image = F.col(image_col) if image_col else F.lit(0)
+    left = points.select(image.alias("image"), F.col(id_col).alias("id"), "x", "y", cell("x").alias("cx"), cell("y").alias("cy"))
     around = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    right = left.withColumn("o", F.explode(around)).select(F.col("id").alias("id2"), F.col("x").alias("x2"), F.col("y").alias("y2"), (F.col("cx") + F.col("o.a")).alias("cx"), (F.col("cy") + F.col("o.b")).alias("cy"))
+    right = left.withColumn("o", F.explode(around)).select("image", F.col("id").alias("id2"), F.col("x").alias("x2"), F.col("y").alias("y2"), (F.col("cx") + F.col("o.a")).alias("cx"), (F.col("cy") + F.col("o.b")).alias("cy"))
     near = (F.col("x") - F.col("x2")) * (F.col("x") - F.col("x2")) + (F.col("y") - F.col("y2")) * (F.col("y") - F.col("y2")) <= radius * radius
-    found = left.join(right, ["cx", "cy"]).where(near & (F.col("id") != F.col("id2"))).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    return left.select("id").join(found, "id", "left").select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("neighbours"))
+    found = left.join(right, ["image", "cx", "cy"]).where(near & (F.col("id") != F.col("id2"))).groupBy("image", "id").agg(F.count(F.lit(1)).alias("n"))
+    out = left.select("image", "id").join(found, ["image", "id"], "left")
+    return out.select(*([F.col("image").alias(image_col)] if image_col else []), F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("neighbours"))
 
 
 def gyration(px: DataFrame) -> DataFrame:

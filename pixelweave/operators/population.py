@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Fixed columns that tell who and where an object is.
-PLACES = frozenset("field position_label id x_um y_um label centroid_row_px centroid_col_px bbox_min_row_px bbox_min_col_px bbox_max_row_px bbox_max_col_px stage_x_um stage_y_um tile image_id".split())
+#: Columns that tell which object it is or where, and beginnings of such names.
+PLACES = frozenset("field position_label id x_um y_um intensity r label object_id tile_name".split())
+PLACE_PREFIXES = ("bbox_", "centroid_", "weighted_centroid", "stage_", "bg_global_mean")
 FEWEST = 10
 
 
@@ -27,7 +28,7 @@ def finite(name: str):
 
 def measured_columns(table: DataFrame, enough: float = 0.5) -> list[str]:
     """Names, sorted, of numbers that aren't places, are finite often enough and vary; found in one pass."""
-    names = sorted(f.name for f in table.schema if isinstance(f.dataType, T.NumericType) and f.name not in PLACES)
+    names = sorted(f.name for f in table.schema if isinstance(f.dataType, T.NumericType) and f.name not in PLACES and not f.name.startswith(PLACE_PREFIXES))
     if not names:
         return []
     parts = [x for n in names for x in (F.avg(finite(n).isNotNull().cast("double")).alias(f"{n}|share"), (F.max(finite(n)) - F.min(finite(n))).alias(f"{n}|range"))]
@@ -76,7 +77,7 @@ def principal_axes(table: DataFrame, names: list[str], n: int = 50) -> tuple[np.
 
 
 def reduce(table: DataFrame, id_col: str = "id", enough: float = 0.5, n: int = 2) -> tuple[DataFrame, dict]:
-    """(id, pc1, pc2 ...) of every object, and features, shares and the strongest features of the first two axes."""
+    """(id, pca_1, pca_2 ...) of every object, and features, shares and the strongest features of the first two axes."""
     if table.limit(FEWEST).count() < FEWEST:
         raise ValueError(f"at least {FEWEST} objects are needed")
     names = measured_columns(table, enough)
@@ -89,7 +90,7 @@ def reduce(table: DataFrame, id_col: str = "id", enough: float = 0.5, n: int = 2
     def along(i: int):
         return sum(((F.col(x) - float(m)) * float(w) for x, m, w in zip(names, mean, axes[:, i])), F.lit(0.0))
 
-    points = even.select(id_col, *[along(i).alias(f"pc{i + 1}") for i in range(min(n, axes.shape[1]))])
+    points = even.select(id_col, *[along(i).alias(f"pca_{i + 1}") for i in range(min(n, axes.shape[1]))])
     top = [[names[j] for j in sorted(range(len(names)), key=lambda j: (-abs(axes[j, i]), names[j]))[:5]] for i in range(2)]
     return points, {"features": names, "variance": shares.tolist(), "top": top}
 

@@ -110,8 +110,8 @@ def test_two_rectangles(spark):
     masks[5:15, 6:14], masks[20:30, 25:41] = 1, 2
     px = measure.of_objects(as_pixels(spark, np.arange(40 * 48).reshape(40, 48)), as_pixels(spark, masks, "label"))
     tiles = spark.createDataFrame([(1, ["R0", "3", "7"], [1000.0, 2000.0], [2.0, 3.0], [48, 40], [[1.0, 0.0], [0.0, 1.0]])], "image_id long, tile_id array<string>, stage_xy array<double>, pixel_xy array<double>, size_xy array<int>, matrix array<array<double>>")
-    out = table.object_table(measure.base(px), tiles).orderBy("id").collect()
-    assert [(r.id, r.area_px, r.stage_x_um, r.stage_y_um) for r in out] == [("R0_r003_c007_obj00001", 80, 971.0, 1968.5), ("R0_r003_c007_obj00002", 160, 1017.0, 2013.5)]
+    out = table.object_table(measure.base(px), tiles).orderBy("object_id").collect()
+    assert [(r.object_id, r.area, r.stage_x_um, r.stage_y_um) for r in out] == [("R0_r003_c007_obj00001", 80, 971.0, 1968.5), ("R0_r003_c007_obj00002", 160, 1017.0, 2013.5)]
     m = measure.axes(px).orderBy("label").collect()
     assert m[1].major_axis == pytest.approx(4 * np.sqrt((16**2 - 1) / 12)) and m[1].orientation == pytest.approx(np.pi / 2)
 
@@ -133,7 +133,9 @@ def test_filters(spark):
 
 
 def test_identity(spark):
-    given = {"model": "m", "threshold": 100.0, "channels": [0]}
+    known = {"z_selection": "max", "channels": [0], "method": "fast", "threshold": 100.0, "cellprob_threshold": None, "flow_threshold": None, "niter": None, "diameter": 14, "segmentation_binning": None}
+    assert table.identity(known) == table.identity(known | {"min_area_px": 3, "gpu": True}) == "966544120468c6857a2ff30d6d2f58e9bd7da035ddc09b38b4eee2e8536be7f7"
+    given = {"method": "m", "threshold": 100.0, "channels": [0]}
     spelled = spark.range(1).select(table.identity_column(F.create_map(*[F.lit(x) for k, v in given.items() for x in (k, json.dumps(v, separators=(",", ":")))])))
     assert spelled.first()[0] == table.identity(given) != table.identity({})
 
@@ -191,7 +193,7 @@ def test_orientation_of_each_layout(spark):
         rows.append((n, float(x[0]), float(x[1]), float(y[0]), float(y[1]), 60.0))
     rows.append((99, 0.0, 0.0, 1.0, 0.0, 60.0))
     out = {r.case_id: r for r in align.orientation_document(spark.createDataFrame(rows, "case_id int, x_dc double, x_dr double, y_dc double, y_dr double, move_um double")).collect()}
-    assert [out[n].layout for n in range(8)] == list(align.LAYOUTS) and all(out[n].accepted and out[n].pixel_um == pytest.approx(2.5) for n in range(8))
+    assert [(out[n].rotation_deg, out[n].reflection) for n in range(8)] == list(align.LAYOUTS) and (out[3].stage_x_from_image, out[3].stage_y_from_image) == ("+Y", "-X") and all(out[n].accepted and out[n].pixel_um == pytest.approx(2.5) for n in range(8))
     assert not out[99].accepted and "did not move" in out[99].why
 
 
@@ -254,16 +256,16 @@ def test_hull():
 def test_population(spark, tmp_path):
     n = 60
     a = RNG.normal(size=n)
-    pdf = pd.DataFrame({"field": 1, "id": [f"o{i}" for i in range(n)], "area": a * 3, "intensity": a + RNG.normal(size=n) * 0.1, "ecc": RNG.random(n), "const": 2.0, "rarely": [1.0 if i % 5 == 0 else None for i in range(n)]})
+    pdf = pd.DataFrame({"field": 1, "id": [f"o{i}" for i in range(n)], "area": a * 3, "mean_c1": a + RNG.normal(size=n) * 0.1, "intensity": a, "bg_global_mean_c0": a, "weighted_centroid_r": a, "stage_z": a, "ecc": RNG.random(n), "const": 2.0, "rarely": [1.0 if i % 5 == 0 else None for i in range(n)]})
     pdf.loc[3, "area"] = None
     pdf.to_csv(tmp_path / "p.csv", index=False)
     ids = spark.createDataFrame([(f"o{i}",) for i in range(0, n, 3)] + [("unknown",)], "id string")
     table_ = population.read_population(spark, str(tmp_path / "p.csv"))
     assert population.read_population(spark, str(tmp_path / "p.csv"), ids).count() == 20
     points, facts = population.reduce(table_)
-    assert facts["features"] == ["area", "ecc", "intensity"] and sum(facts["variance"]) == pytest.approx(1)
+    assert facts["features"] == ["area", "ecc", "mean_c1"] and sum(facts["variance"]) == pytest.approx(1)
     assert points.count() == n and facts["variance"] == sorted(facts["variance"], reverse=True)
-    x = pdf[["area", "ecc", "intensity"]].fillna(pdf[["area", "ecc", "intensity"]].median())
+    x = pdf[["area", "ecc", "mean_c1"]].fillna(pdf[["area", "ecc", "mean_c1"]].median())
     q = x.quantile([0.25, 0.5, 0.75])
     x = (x - q.loc[0.5]) / (q.loc[0.75] - q.loc[0.25])
     assert np.allclose(facts["variance"], np.sort(np.linalg.eigvalsh(np.cov(x.T)))[::-1] / np.trace(np.cov(x.T)))
@@ -325,7 +327,7 @@ def test_neighbours_and_background_of_a_ring(spark):
     image[4:7, 4:7], image[masks > 0] = 90.0, 6.0
     scene = features.Scene(as_pixels(spark, image), as_pixels(spark, masks, "label"), 14, 14, bg_radius=2)
     row = features.objects(scene, ["background", "neighbours"]).where("label = 1").first()
-    assert (row.bg_local_mean, row.mean_minus_local_bg, row.mean_over_local_bg, row.total_minus_local_bg, row.total_over_local_bg) == (2.0, 4.0, 3.0, 64.0, 3.0)
+    assert (row.bg_local_mean, row.mean_minus_local_bg, row.mean_over_local_bg, row.total_minus_local_bg, row.total_over_local_bg) == (2.0, 4.0, 3.0, 64.0, 48.0)
     assert (row.neighbours_within_5, row.neighbours_within_50, row.neighbours_within_250) == (0, 1, 1)
 
 
@@ -337,5 +339,51 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "c" / "masks")).count() == 3
     assert spark.read.json(str(tmp_path / "c" / "detection")).first().diameter == "3"
     assert sinks.points_name("/a/b_objects.csv", "pca") == "b_pca.csv"
-    sinks.points(spark.createDataFrame([("a", 1.0)], "id string, pc1 double"), str(tmp_path / "p"))
+    sinks.points(spark.createDataFrame([("a", 1.0)], "id string, pca_1 double"), str(tmp_path / "p"))
     assert spark.read.csv(str(tmp_path / "p"), header=True).first().id == "a"
+
+
+def test_fourier_energy_is_a_sum():
+    a = RNG.normal(size=(6, 7))
+    m = np.abs(np.fft.fft2(a))
+    assert kernels.spectrum(a)[2] == pytest.approx((m**2).sum()) == pytest.approx(42 * (a**2).sum())
+
+
+def test_points_of_other_images_are_no_neighbours(spark):
+    rows = [(1, 1, 0.0, 0.0), (1, 2, 3.0, 4.0), (2, 1, 0.0, 0.0), (2, 2, 9.0, 0.0)]
+    points = spark.createDataFrame(rows, "image long, id long, x double, y double")
+    assert sorted((r.image, r.id, r.neighbours) for r in measure.within(points, 5.0, "id", "image").collect()) == [(1, 1, 1), (1, 2, 1), (2, 1, 0), (2, 2, 0)]
+
+
+def test_no_height_without_a_peak(spark):
+    rows = [(1, z, s) for z, s in enumerate([5.0, 4.0, 3.0, 2.0, 1.0])] + [(2, z, s) for z, s in enumerate([1.0, 2.0, 4.0, 3.0, 1.0])]
+    curve = spark.createDataFrame(rows, "stack_id long, z long, score double")
+    heights = curve.select("stack_id", "z", (F.col("z") * 2.0).alias("z_um"))
+    out = {r.stack_id: r for r in focus.peak(curve, "score", 0, heights).collect()}
+    assert (out[1].found, out[1].z_um) == (False, None) and out[2].found and 4.0 < out[2].z_um < 5.0
+
+
+def test_patterns_are_of_eight_bits(spark):
+    """Neighbours that fall into the same of 256 levels are equal."""
+    a = np.full((5, 5), 1000.0)
+    a[2, 2], a[2, 3] = 1003.0, 1001.0
+    labels = np.ones((5, 5), int)
+    pixels, masks = as_pixels(spark, a), as_pixels(spark, labels, "label")
+    scales = spark.createDataFrame([(1, 2000.0)], "image_id long, scale double")
+    code = {(r.r, r.c): r.lbp for r in texture.binary_patterns(texture.eight_bit(pixels, scales), 5, 5).collect()}
+    assert code[2, 2] == 255 and texture.binary_patterns(pixels, 5, 5).where("r = 2 and c = 2").first().lbp == 0
+    assert texture.lbp_stats(texture.binary_patterns(texture.eight_bit(pixels, scales), 5, 5), masks).count() == 1
+
+
+def test_template_where_phase_fails():
+    a, b = RNG.normal(size=(40, 40)), RNG.normal(size=(40, 40))
+    shift, score = kernels.measured_shift(a, b)
+    assert shift == kernels.template_shift(a, b) and score == kernels.agreement(a, b, shift) < 0.5
+
+
+@pytest.mark.parametrize("move", [(0, 0), (3, -2), (-5, 7), (-1, -1)])
+def test_agreement_over_what_both_show(move):
+    a, b = RNG.normal(size=(20, 24)), RNG.normal(size=(20, 24))
+    pairs = [(a[r, c], b[r - move[0], c - move[1]]) for r in range(20) for c in range(24) if 0 <= r - move[0] < 20 and 0 <= c - move[1] < 24]
+    assert kernels.agreement(a, b, move) == pytest.approx(np.corrcoef(np.array(pairs).T)[0, 1])
+    assert kernels.agreement(a, b, (19, 22)) == 0.0 == kernels.agreement(a, b, (50, 0)) == kernels.agreement(a, np.ones_like(a), (0, 0))
