@@ -1,7 +1,7 @@
 """Document fingerprints by a homomorphic multiset hash, in DataFrame functions only.
 
 A paragraph (a line) is hashed to a wide vector: itself and each pair of neighbouring words in it have a 64-bit XXH64, whose
-bits are summed lane by lane modulo 2^32, and a second XXH64, whose halves are summed modulo 2^32 too. A text's fingerprint is the sum of its
+bits are summed lane by lane modulo 2^32, and a second XXH64 of another seed, whose halves are summed modulo 2^32 too. A text's fingerprint is the sum of its
 paragraphs' vectors modulo 2^32 in each of 66 lanes. So the order of paragraphs doesn't matter, and a paragraph is inserted or
 deleted by adding or subtracting its vector (``added``, ``removed``). The 64 lanes of bits are also a sketch: centred, they are sums of
 random signs over the text's items, and the squared distance of two such sums estimates how many items two texts don't share.
@@ -22,22 +22,25 @@ LANES = [f"v{j}" for j in range(32)] + ["count", "d0", "d1"]
 
 
 def items(text: Column) -> Column:
-    """Hashes of all paragraphs and of the pairs of neighbouring words inside them: array of struct(h, d)."""
+    """Two hashes, of seeds of their own, of all paragraphs and of the pairs of neighbouring words inside them: array of struct(h, d)."""
+
+    def twice(*x: Column) -> Column:
+        return F.struct(F.xxhash64(*x).alias("h"), F.xxhash64(F.lit(SEED), *x).alias("d"))
 
     def of(paragraph: Column) -> Column:
         words = F.split(paragraph, " ")
         pairs = F.transform(
             F.array(words),
-            lambda w: F.zip_with(w, F.slice(w, F.lit(2), F.greatest(F.size(w), F.lit(1))), lambda a, b: F.xxhash64(a, b)),
+            lambda w: F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: twice(a, b)),
         )
-        return F.concat(F.array(F.xxhash64(paragraph)), F.flatten(pairs))
+        return F.concat(F.array(twice(paragraph)), F.flatten(pairs))
 
     return F.flatten(F.transform(F.split(text, "\n"), of))
 
 
 def vectors(rows: DataFrame, keys: list[str], hashes: str) -> DataFrame:
     """Sums of the lanes over the exploded hashes of each key."""
-    spread = rows.select(*keys, F.explode(hashes).alias("h")).withColumn("d", F.xxhash64("h", F.lit(SEED)))
+    spread = rows.select(*keys, F.explode(hashes).alias("i")).select(*keys, "i.h", "i.d")
     lanes = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(PAIR))).alias(f"v{j}") for j in range(32)]
     halves = [F.sum(F.shiftrightunsigned("d", j).bitwiseAND(F.lit(HALF))).alias(n) for j, n in ((0, "d0"), (32, "d1"))]
     return spread.groupBy(*keys).agg(*lanes, F.count(F.lit(1)).alias("count"), *halves)

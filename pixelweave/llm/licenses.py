@@ -192,7 +192,7 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     One row per input row: the id column, n_words, n_base (places of base phrases, all that overlap counted), first_word and
     last_word (null without a place), base_labels and labels (distinct, sorted, comma-joined; empty if none), score
     (0 without a label) and expressions (postfix form of each tag's expression). A null or empty text has no words. A tag
-    without a well-formed expression adds nothing. Repeated rows give repeated results; other columns are dropped.
+    without a well-formed expression adds nothing. Very long texts are scanned whole. No rows give none. Repeated rows give repeated results; other columns are dropped.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 

@@ -154,7 +154,8 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
     One row per input row: the id column, source, size (words; null or empty text: 0), source_size, target, copies and taken (words, repeats
     counted). Sizes of 0 are taken as others are. A source of size 0 has target 0. Rows that share an id are told apart by a running
-    number in order of their sizes, so reruns agree; an empty table gives no rows; other columns are dropped. A source of any
+    number in order of their sizes, so reruns agree; an empty table gives no rows; other columns are dropped. The dozen documents per source that are settled
+together at the landing are chosen so that the source's total comes nearest to its target: inclusion probabilities hold for all others. A source of any
     size is split into groups of ``group`` documents by a hash of the id.
     """
     rows = docs.select(
@@ -190,7 +191,8 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 def resampled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Each row of ``docs`` as many times as the mix takes it, with all columns.
 
-    Rows that share an id and a source meet their numbers of copies in order of their sizes.
+    Rows that share an id and a source meet their numbers of copies in order of their sizes. Null and empty texts have a size of 0 and are taken as
+    others are; very long ones are counted whole; no rows give none.
     """
     taken = cut(mixed(docs, id_col, text_col, source_col).select(F.col(id_col).alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copies").alias("_copies")))
     rows, columns = docs, docs.columns

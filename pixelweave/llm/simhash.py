@@ -132,7 +132,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     One row per input row: the id column, fingerprint (16 hexadecimal digits), component_id (the smallest id that links reach). A text with fewer words
     than a shingle is one shingle; without words, or null, its fingerprint is zero and linked like any other. Rows that share an id are documents of
     their own. Ids are cast to long; a null id is never the smallest, and a component of null ids alone has a null
-    component_id. No rows give none; other columns are dropped. Copies are one node, so groups of any size cost one
+    component_id. Very long texts are hashed whole. No rows give none; other columns are dropped. Copies are one node, so groups of any size cost one
     row each.
     """
     marked = cut(with_fingerprint(docs, id_col, text_col, words))

@@ -39,11 +39,57 @@ def test_odd_rows(spark, name):
     assert len(out) == len(ODD)
 
 
+def by_id(rows, key="doc_id"):
+    out = {}
+    for r in rows:
+        out.setdefault(r[key], []).append(r)
+    return out
+
+
+def test_values_of_odd_rows(spark):
+    """What each operator makes of repeated rows, null and empty texts, a null id and a very long text."""
+    run = lambda name: by_id(OPERATORS[name](spark, docs(spark, ODD)).collect(), "page_id" if name == "html" else "doc_id")
+    texts = {i: t or "" for i, t, _ in ODD}
+    out = run("simhash")
+    assert {i: sorted({r.component_id for r in v}, key=str) for i, v in out.items()} == {1: [1], 2: [2], 3: [2], None: [None], 4: [4], 5: [5]}
+    assert out[2][0].fingerprint == out[3][0].fingerprint == "0" * 16 and out[1][0] == out[1][1]
+    assert {i: v[0].component_id for i, v in run("copies").items()} == {1: 1, 2: 2, 3: 2, None: None, 4: 4, 5: 5}
+    assert all((r.score, r.predicted, r.evidence) == (0.0, 0, []) for v in run("toxicity").values() for r in v)
+    assert all((r.score, r.predicted) == (0.5, 1) for v in run("quality").values() for r in v)
+    out = run("fingerprint")
+    assert {i: v[0].n_chars for i, v in out.items()} == {i: len(t) for i, t in texts.items()}
+    assert out[2][0].fingerprint == out[3][0].fingerprint != out[5][0].fingerprint and out[1][0].fingerprint == out[1][1].fingerprint
+    assert out[2][0].near_next == 1.0 and sorted(r.near_next for r in out[1])[1] == 1.0
+    assert {i: bytes(v[0].decoded).decode() for i, v in run("bpe").items()} == texts and run("bpe")[2][0].n_tokens == 0
+    out = run("licenses")
+    assert (out[5][0].labels, out[5][0].n_base, out[2][0].labels, out[2][0].first_word, out[4][0].n_words) == ("mit", 1, "", None, 60_000)
+    out = run("mixing")
+    assert {i: v[0].size for i, v in out.items()} == {1: 6, 2: 0, 3: 0, None: 1, 4: 60_000, 5: 4} and all(0 <= r.taken <= 3 * r.size for v in out.values() for r in v)
+    assert all(r.n_chars == len(r.text) for v in run("html").values() for r in v) and run("html")[2][0].text == ""
+
+
+def test_classifiers_with_labels_of_odd_rows(spark):
+    """Null, unknown and repeated labels; texts that are all alike."""
+    rows = [(i, f"fine words {i}" if i % 2 else f"vile words {i}", "x") for i in range(60)] + [(100, None, "x"), (101, "", "x")]
+    marks = [(i, i % 2, 1 - i % 2) for i in range(60)] + [(0, None, None), (1, 7, 7), (None, 1, 1), (100, 0, 0), (500, 1, 1)]
+    for f in (toxicity.scored, quality.scored):
+        out = by_id(f(docs(spark, rows), labels(spark, marks)).collect())
+        assert len(out) == 62 and all(0 <= r.score <= 1 for v in out.values() for r in v) and out[100][0].score == out[101][0].score
+    out = by_id(toxicity.scored(docs(spark, rows), labels(spark, marks)).collect())
+    assert out[2][0].score > out[3][0].score
+
+
 @pytest.mark.parametrize("name", OPERATORS)
 def test_no_rows(spark, name):
     assert OPERATORS[name](spark, docs(spark, [])).collect() == []
 
 
+def test_filters_of_no_rows(spark):
+    none = docs(spark, [])
+    for kept in (quality.kept(none, labels(spark)), toxicity.kept(none, labels(spark)), copies.deduplicated(none), mixing.resampled(none), bpe.encoded(none)):
+        assert kept.collect() == []
+
+
 def test_filters_keep_columns(spark):
     own = docs(spark, ODD)
     for kept in (quality.kept(own, labels(spark)), toxicity.kept(own, labels(spark)), copies.deduplicated(own), mixing.resampled(own)):

@@ -132,6 +132,76 @@ def test_licenses_of_many_tags_in_a_line():
     assert licenses.scan(text)[5:6] + licenses.scan(text)[7:] == ("apache,bsd,epl,mit", ["MIT", "Apache-2.0", "BSD-3-Clause", "EPL-2.0"])
 
 
+def test_licenses_against_brute_force(spark, texts):
+    """The query's columns for every text, phrase by phrase; the method's own labels by looking for them word by word."""
+    import re
+
+    out = {r.doc_id: r for r in licenses.op9_license_scan(spark, SF).collect()}
+    assert sorted(out) == sorted(texts)
+    for i, text in texts.items():
+        lower = "".join(c.lower() if c.isascii() else c for c in text)
+        own = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)
+
+        def places(phrase, own=own):
+            wanted = phrase.split()
+            return [k for k in range(len(own) - len(wanted) + 1) if own[k : k + len(wanted)] == wanted]
+
+        found = {p: places(p) for p in licenses.BASE}
+        at = sorted(x for v in found.values() for x in v)
+        base = {licenses.BASE[p] for p, v in found.items() if v}
+        labels = base | {label for p, label in licenses.NOTICES.items() if places(p)}
+        for rest in re.findall(r"(?i)spdx[^a-z0-9\n]+license[^a-z0-9\n]+identifier[ \t]*:?[ \t]*([^\n]*)", text):
+            labels |= {licenses.label_of(x.lower().rstrip("+")) for x in re.findall(r"[\w.+-]+", rest)[:1]}
+        r = out[i]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(own), len(at), at[0] if at else None, at[-1] if at else None)
+        assert r.base_labels == ",".join(sorted(base)) and set(r.labels.split(",")) - {""} >= labels and (r.score > 0) == bool(r.labels)
+
+
+def test_mixing_against_brute_force(spark, texts):
+    """Targets by pouring out the excess source by source; what the mix takes, of whole copies and at most one more."""
+    sources = {r.doc_id: r.source for r in table(spark, SF, "documents").collect()}
+    size = {}
+    for i, s in sources.items():
+        size[s] = size.get(s, 0) + len(texts[i].encode().split())
+    order = sorted(size, key=lambda s: (s is None, s))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    target, open_, left = {}, set(order), sum(size.values())
+    while open_:
+        share = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        full = [s for s in open_ if share[s] > 3 * size[s]]
+        if not full:
+            target |= share
+            break
+        for s in full:
+            target[s] = 3.0 * size[s]
+            left -= target[s]
+            open_.discard(s)
+    out = mixing.op10_source_mixing(spark, SF).collect()
+    for r in out:
+        s = sources[r.doc_id]
+        assert (r.size, r.source_size, r.target) == (len(texts[r.doc_id].encode().split()), size[s], pytest.approx(target[s]))
+        rate = target[s] / size[s] if size[s] else 0
+        if r.size:
+            assert r.taken / r.size in (int(rate + 1e-9), int(rate + 1e-9) + 1)
+    for s in order:
+        own = [r for r in out if sources[r.doc_id] == s]
+        assert abs(sum(r.taken for r in own) - target[s]) <= max(r.size for r in own) / 2  # sources of a few documents can't come nearer than those allow
+
+
+def test_inclusion_frequencies(spark):
+    """Over many mixes with other hashes, documents are taken about as often as their source's rate says, long ones like short ones."""
+    rows = [(i, "w " * (1 + i % 17)) for i in range(400)]
+    taken = {"short": [], "long": []}
+    for shift in range(6):
+        own = spark.createDataFrame([(i + 1000 * shift, t, "a") for i, t in rows] + [(90_000 + i, "w " * 5, "b") for i in range(600)], "doc_id long, text string, source string")
+        out = mixing.mixed(own).where("source = 'a'").collect()
+        for r in out:
+            taken["long" if r.size > 8 else "short"].append(r.copies)
+        rate = out[0].target / out[0].source_size
+    for k, copies_ in taken.items():
+        assert abs(np.mean(copies_) - rate) < 0.06
+
+
 def test_mixing(spark, texts):
     out = mixing.op10_source_mixing(spark, SF).toPandas()
     assert (out["taken"] <= 3 * out["size"]).all()
@@ -184,6 +254,52 @@ def test_fingerprints(spark, texts):
     assert np.mean([r.near_edited for r in out.values()]) > 0.6 > 0.2 > np.mean([r.near_next for r in out.values()])
 
 
+def lanes_of(text):
+    """The fingerprint's 35 longs, worked out hash by hash."""
+    counts, count, halves = [0] * 64, 0, [0, 0]
+    seeded = xxhash.xxh64_intdigest((5).to_bytes(4, "little"), 42)
+    for line in text.split("\n"):
+        words = line.split(" ")
+        for item in ([line], *zip(words, words[1:])):
+            h, d = 42, seeded
+            for x in item:
+                h, d = xxhash.xxh64_intdigest(x.encode(), h), xxhash.xxh64_intdigest(x.encode(), d)
+            count += 1
+            halves = [(halves[0] + (d & 0xFFFFFFFF)) & 0xFFFFFFFF, (halves[1] + (d >> 32)) & 0xFFFFFFFF]
+            for j in range(64):
+                counts[j] += h >> j & 1
+    return counts, halves, count
+
+
+def spelled(lanes):
+    counts, halves, count = lanes
+    return "".join(f"{x:016X}" for x in [*[counts[j + 32] << 32 | counts[j] for j in range(32)], *halves, count])
+
+
+def like(a, b):
+    if a == b:
+        return 1.0
+    x, y = ([2 * k - lanes[2] for k in lanes[0]] for lanes in (a, b))
+    sizes = sum(i * i for i in x) + sum(i * i for i in y)
+    return max(0.0, 1 - sum((i - j) ** 2 for i, j in zip(x, y)) / sizes) if sizes else 0.0
+
+
+def test_fingerprints_recomputed(spark, texts):
+    """Fingerprints and likeness of the query, by brute force."""
+    out = {r.doc_id: r for r in fingerprint.op5_fingerprint(spark, SF).collect()}
+    ids = sorted(texts)
+    for i in [*range(0, len(ids), 9), len(ids) - 1]:
+        own, following = texts[ids[i]], texts[ids[(i + 1) % len(ids)]]
+        if len(own) + len(following) > 20_000:
+            continue
+        cut = len(own) // 4
+        changed = own[: len(own) - cut] + following[:cut]
+        a, b, c = lanes_of(own), lanes_of(changed), lanes_of(following)
+        r = out[ids[i]]
+        assert (r.fingerprint, r.edited_fingerprint) == (spelled(a), spelled(b))
+        assert (r.near_edited, r.near_next) == (pytest.approx(like(a, b)), pytest.approx(like(a, c)))
+
+
 def test_fingerprints_add_up(spark):
     rows = [(1, "a b\nc d e\nf"), (2, "f\na b\nc d e"), (3, "a b\nf"), (4, "c d e"), (5, "a b\nc d e")]
     found = fingerprint.fingerprinted(spark.createDataFrame(rows, "doc_id long, text string"))
