@@ -346,11 +346,14 @@ def lbp_stats(spark, sf_dir):
     return rounded(found, *[f"lbp_{n}" for n in "mean std entropy skewness kurtosis".split()])
 
 
-@query(STACK + ", m AS (SELECT image_id, r, c, CAST(r // 4 + 1 AS INTEGER) AS label FROM stack WHERE ch = 0 AND z = 0 AND c < 9) SELECT m.image_id, m.label, " + ", ".join(r6(f"avg(s.v) FILTER (s.ch = {i})", f"mean_c{i}") for i in (0, 1)) + " FROM m JOIN stack s USING (image_id, r, c) WHERE s.z = 0 GROUP BY ALL")
+@query(STACK + ", m AS (SELECT image_id, r, c, CAST(r // 4 + 1 AS INTEGER) AS label FROM stack WHERE ch = 0 AND z = 0 AND c < 9) SELECT m.image_id, m.label, " + ", ".join(
+    f"{r6('avg(s.v) FILTER (s.ch = {i})', f'mean_c{i}')}, min(s.v) FILTER (s.ch = {i}) AS least_c{i}, max(s.v) FILTER (s.ch = {i}) AS greatest_c{i}, {r6('stddev_pop(s.v) FILTER (s.ch = {i})', f'spread_c{i}')}, median(s.v) FILTER (s.ch = {i}) AS median_c{i}, {r6('sum(s.v) FILTER (s.ch = {i})', f'total_c{i}')}".replace("{i}", str(i)) for i in (0, 1)
+) + " FROM m JOIN stack s USING (image_id, r, c) WHERE s.z = 0 GROUP BY ALL")
 def channel_means(spark, sf_dir):
     own = stacks(spark, sf_dir).where("z = 0")
     labels = own.where("ch = 0 and c < 9").select("image_id", "r", "c", (F.floor(F.col("r") / 4) + 1).cast("int").alias("label"))
-    return rounded(measure.by_channel(labels.join(own.select("image_id", "r", "c", "ch", "v"), ["image_id", "r", "c"]), [0, 1]), "mean_c0", "mean_c1")
+    found = measure.by_channel(labels.join(own.select("image_id", "r", "c", "ch", "v"), ["image_id", "r", "c"]), [0, 1])
+    return rounded(found, *[f"{n}_c{i}" for i in (0, 1) for n in ("mean", "spread", "total")])
 
 
 # ---- focus

@@ -140,9 +140,16 @@ def derived(objects: DataFrame) -> DataFrame:
 
 
 def by_channel(px: DataFrame, channels: list[int]) -> DataFrame:
-    """mean_c0, mean_c1 ... of px with a column ch; the list of channels is given, so no pass is needed to find it."""
-    pick = [F.avg(F.when(F.col("ch") == i, F.col("v"))).alias(f"mean_c{i}") for i in channels]
-    return px.groupBy(*KEY).agg(*pick)
+    """mean, least, greatest, spread, median and total of px with a column ch, each with _c0, _c1 ...; the list of channels is given, so no pass is needed to find it."""
+    of = {"mean": F.avg, "least": F.min, "greatest": F.max, "spread": F.stddev_pop, "median": F.median, "total": F.sum}
+    return px.groupBy(*KEY).agg(*[f(F.when(F.col("ch") == i, F.col("v"))).alias(f"{name}_c{i}") for i in channels for name, f in of.items()])
+
+
+def spaced(objects: DataFrame, spacing: tuple[float, float]) -> DataFrame:
+    """Base measures of images with pixels of (height, width) µm: num_pixels beside an area in µm², centroids in µm."""
+    dy, dx = spacing
+    out = objects.withColumn("num_pixels", F.col("area")).withColumn("area", F.col("area") * F.lit(dy * dx))
+    return out.withColumns({"centroid_r": F.col("centroid_r") * F.lit(dy), "centroid_c": F.col("centroid_c") * F.lit(dx), "equivalent_diameter": F.sqrt(4 * F.col("area") / F.lit(math.pi))})
 
 
 def global_background(pixels: DataFrame, masks: DataFrame) -> DataFrame:

@@ -387,3 +387,33 @@ def test_agreement_over_what_both_show(move):
     pairs = [(a[r, c], b[r - move[0], c - move[1]]) for r in range(20) for c in range(24) if 0 <= r - move[0] < 20 and 0 <= c - move[1] < 24]
     assert kernels.agreement(a, b, move) == pytest.approx(np.corrcoef(np.array(pairs).T)[0, 1])
     assert kernels.agreement(a, b, (19, 22)) == 0.0 == kernels.agreement(a, b, (50, 0)) == kernels.agreement(a, np.ones_like(a), (0, 0))
+
+
+def test_detection_from_end_to_end(spark, tmp_path):
+    """Binning, detection, border, area; masks found again by their settings, whatever the filters."""
+    a = np.zeros((24, 32))
+    a[0:4, 0:4], a[8:12, 8:12], a[8:18, 18:28] = 9, 9, 9
+    calls = []
+
+    def find(image, diameter, threshold):
+        calls.append(image.shape)
+        return kernels.components(image > threshold)
+
+    pixels = as_pixels(spark, a)
+    settings = {"segmentation_binning": 2, "diameter": 8, "threshold": 4.0, "method": "parts"}
+    from pixelweave.operators import segmentation
+
+    out = segmentation.detected(pixels, 24, 32, settings, find, border=2, area=(20, None), folder=str(tmp_path))
+    assert not out.reused and {(r.label, r.n) for r in out.masks.groupBy("label").agg(F.count("*").alias("n")).collect()} == {(3, 100)}
+    assert out.dropped.first().labels == [1, 2] and out.counts().first()[1:] == (3, 1)
+    again = segmentation.detected(pixels, 24, 32, settings | {"gpu": False}, None, folder=str(tmp_path))
+    assert again.reused and again.identity == out.identity and again.counts().first()[1:] == (3, 3)
+    assert not segmentation.detected(pixels, 24, 32, settings | {"threshold": 5.0}, find, folder=str(tmp_path)).reused
+
+
+def test_spacing(spark):
+    labels = np.zeros((6, 6), int)
+    labels[1:3, 2:6] = 1
+    px = measure.of_objects(as_pixels(spark, labels * 2.0), as_pixels(spark, labels, "label"))
+    row = measure.derived(measure.spaced(measure.base(px), (2.0, 0.5))).first()
+    assert (row.num_pixels, row.area, row.centroid_r, row.centroid_c, row.intensity_total) == (8, 8.0, 3.0, 1.75, 16.0)
