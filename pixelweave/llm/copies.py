@@ -9,6 +9,7 @@ place; each segment is indexed with each place deleted; equal keys make candidat
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,8 @@ SEGMENTS, PLACES = 5, 6
 FEW, AHEAD = 48, 5
 #: Texts and shingles of a block, about; columns of the matrices that blocks are compared by.
 BLOCK, BLOCK_SHINGLES, COLUMNS = 1024, 400_000, 2048
-#: Shingles of all texts to compare up to which their sets are broadcast, at four bytes each.
-SENT = 4_000_000
+#: Links up to which one task finds all classes; beyond, a task makes stars of as many at a time, and what is left goes through rounds of joins.
+TASK_LINKS = 250_000
 _rng = np.random.default_rng(9)
 FACTORS = _rng.integers(1, 1 << 63, SEGMENTS * PLACES, dtype=np.uint64) * 2 + 1
 TERMS = _rng.integers(0, 1 << 63, SEGMENTS * PLACES, dtype=np.uint64)
@@ -114,6 +115,50 @@ def linked_blocks(similarity: float):
     return run
 
 
+def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For ``TASK_LINKS`` links of a task at a time: each node, and the smallest that it can reach by them."""
+    up: dict[int, int] = {}
+
+    def least(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
+
+    def found() -> pa.RecordBatch:
+        nodes = list(up)
+        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([least(x) for x in nodes], pa.int64())], ["node", "component"])
+
+    n = 0
+    for batch in batches:
+        for begin in range(0, batch.num_rows, TASK_LINKS):
+            part = batch.slice(begin, TASK_LINKS)
+            if up and n + part.num_rows > TASK_LINKS:
+                yield found()
+                up.clear()
+                n = 0
+            n += part.num_rows
+            for u, v in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                a, b = least(u), least(v)
+                up[max(a, b)] = min(a, b)
+    yield found()
+
+
+def classes(links: DataFrame) -> DataFrame:
+    """(u, v) of longs to (node, component) as ``components`` does, after the links have been made few by ``stars``.
+
+    No class is lost, as stars reach what their links do. While stars are half as many as links or fewer they are made again; once a single task has had all, they are
+    the classes. Each round of joins that this saves is eight stages and their tasks for the driver to keep account of.
+    """
+    while True:
+        n = links.count()
+        found = cut(links.coalesce(max(1, math.ceil(n / TASK_LINKS))).mapInArrow(stars, "node long, component long"))
+        if n <= TASK_LINKS:
+            return found
+        links = found.select(F.col("node").alias("u"), F.col("component").alias("v"))
+        if links.count() > n / 2:
+            return components(links)
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(id, component_id): every document with the smallest id that links of at least ``similarity`` (Jaccard, of shingle sets) reach.
 
@@ -139,6 +184,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     entries = nodes.select("node", "size", F.explode("keys").alias("key"))
     common = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("k"), "n")
     members = cut(entries.join(common, F.col("key") == F.col("k")).select("key", "node", "size", "n"))
+    tidy(docs.sparkSession)
     # a set that is smaller than its partner by more than the similarity can't be alike
     sizes_fit = F.least("size", "other_size") >= similarity * F.greatest("size", "other_size")
     few = members.where(F.col("n") <= FEW)
@@ -168,19 +214,17 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return cut(own.mapInArrow(in_blocks(sets, kind, weigh=0), "node long, set array<int>").dropDuplicates(["node"]))
 
     found = sets_of(pairs.select("node").union(pairs.select("other")).distinct())
-    small = (found.agg(F.sum(F.size("set"))).first()[0] or 0) <= SENT
-    found = F.broadcast(found) if small else found
     a, b = found.select(F.col("node").alias("a"), F.col("set").alias("sa")), found.select(F.col("node").alias("b"), F.col("set").alias("sb"))
     both = pairs.join(a, F.col("node") == F.col("a")).join(b, F.col("other") == F.col("b"))
     shared = F.size(F.array_intersect("sa", "sb"))
     edges = cut(both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select(F.col("node").alias("u"), F.col("other").alias("v")))
     del both, found, a, b
     tidy(docs.sparkSession)
-    linked = components(edges)
+    linked = classes(edges)
     if any_crowded:
         rest = _other_components(crowded, linked, sets_of, similarity)
         if rest is not None:
-            linked = components(edges.unionByName(rest))
+            linked = classes(linked.toDF("u", "v").unionByName(rest))
         tidy(docs.sparkSession)
     of = nodes.select("node", "least").join(linked.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left")
     of = of.select("node", "least", F.coalesce("component", "node").alias("component"))

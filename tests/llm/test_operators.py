@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -373,6 +374,44 @@ def test_near_copies_of_crowded_keys_lose_no_link(spark, monkeypatch):
     assert {x.doc_id: x.component_id for x in out} == {0: 0, 1: 1, 2: 0}
 
 
+def jobs(spark, work):
+    """How many Spark jobs ``work`` runs, and what it returns."""
+    context, group = spark.sparkContext, f"counted {work}"
+    context.setJobGroup(group, group)
+    try:
+        out = work()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    return len(context.statusTracker().getJobIdsForGroup(group)), out
+
+
+def test_near_copies_take_few_jobs(spark):
+    """A chain of 300 texts, each alike to the next alone, is one class; the driver has no rounds of joins to keep account of."""
+    words = [f"w{i}" for i in range(4000)]
+    rows = [(i, " ".join(words[8 * i : 8 * i + 100])) for i in range(300)]
+    n, out = jobs(spark, lambda: copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert {x.component_id for x in out} == {0} and len(out) == 300
+    assert n <= 40
+
+
+def test_classes_of_links(spark, monkeypatch):
+    r = random.Random(8)
+    links = [(i, i + 1) for i in range(0, 60)] + [(r.randrange(100, 400), r.randrange(100, 400)) for _ in range(180)] + [(90, 90)]
+    r.shuffle(links)
+    want = {x: components(400, links)[x] for pair in links for x in pair}
+    given = spark.createDataFrame([r.sample(x, 2) for x in links], "u long, v long").repartition(3)
+    at_once = copies.classes(given).collect()
+    assert sorted(map(tuple, at_once)) == sorted(want.items())
+    assert copies.classes(given.limit(0)).collect() == []
+    batches = [pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links[i : i + 50])], ["u", "v"]) for i in range(0, len(links), 50)]
+    assert len(list(copies.stars(iter(batches)))) == 1
+    monkeypatch.setattr(copies, "TASK_LINKS", 20)
+    parts = list(copies.stars(iter(batches)))
+    assert len(parts) == 15 and sum(b.num_rows for b in parts) > len(want)
+    joined = {x.node: x.component for x in copies.classes(given).collect()}
+    assert all(joined.get(x, x) == c for x, c in want.items())
+
+
 def test_form_of_a_long_word():
     assert quality.form_of("a" * 100 + "?b1") == "x?x0" and quality.form_of("Ab1" * 40 + "!").endswith("0!")
 
