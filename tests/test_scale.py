@@ -37,7 +37,7 @@ def test_stacks_are_dealt_by_all_their_planes(spark, monkeypatch):
 
 
 #: Joins of pixels or of objects with each other.
-JOINED = "background_anti global_background gradient_prewitt gradient_roberts histogram_texture".split()
+JOINED = "background_anti global_background gradient_prewitt gradient_roberts histogram_texture local_background".split()
 
 
 @pytest.mark.parametrize("name", JOINED)
