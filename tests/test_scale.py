@@ -37,7 +37,7 @@ def test_stacks_are_dealt_by_all_their_planes(spark, monkeypatch):
 
 
 #: Joins of pixels or of objects with each other.
-JOINED = "background_anti global_background gradient_prewitt gradient_roberts histogram_texture local_background object_crofton object_kernels object_measures object_perimeter overlap_agreement plane_select texture_scale radius_of_gyration".split()
+JOINED = "background_anti global_background gradient_prewitt gradient_roberts histogram_texture local_background object_crofton object_kernels object_measures object_perimeter overlap_agreement plane_select texture_scale radius_of_gyration z_mid".split()
 
 
 @pytest.mark.parametrize("name", JOINED)
@@ -46,3 +46,7 @@ def test_pixels_are_not_broadcast(spark, name):
     assert "BroadcastHashJoin" not in plan.replace("BroadcastHashJoin [r", "").replace("BroadcastHashJoin [c", "")  # tables of weights
     # nor are they dealt a second time by what they are joined on
     assert not [x for x in plan.splitlines() if "ENSURE_REQUIREMENTS" in x and "r#" in x and "c#" in x]
+
+
+def test_the_middle_plane_deals_no_pixel_again(spark):
+    assert "ENSURE_REQUIREMENTS" not in plan_of(catalog.QUERIES["z_mid"](spark, SF))
