@@ -37,7 +37,7 @@ def test_stacks_are_dealt_by_all_their_planes(spark, monkeypatch):
 
 
 #: Joins of pixels or of objects with each other.
-JOINED = "background_anti global_background gradient_prewitt gradient_roberts histogram_texture local_background object_crofton object_kernels object_measures object_perimeter overlap_agreement plane_select texture_scale radius_of_gyration z_mid k_nearest lbp_stats object_table derived_ratios".split()
+JOINED = "background_anti global_background gradient_prewitt gradient_roberts histogram_texture local_background object_crofton object_kernels object_measures object_perimeter overlap_agreement plane_select texture_scale radius_of_gyration z_mid k_nearest lbp_stats object_table derived_ratios glrlm".split()
 
 
 @pytest.mark.parametrize("name", JOINED)
@@ -50,3 +50,7 @@ def test_pixels_are_not_broadcast(spark, name):
 
 def test_the_middle_plane_deals_no_pixel_again(spark):
     assert "ENSURE_REQUIREMENTS" not in plan_of(catalog.QUERIES["z_mid"](spark, SF))
+
+
+def test_runs_are_not_dealt_by_object_again(spark):
+    assert "REPARTITION_BY_COL" not in plan_of(catalog.QUERIES["glrlm"](spark, SF))
