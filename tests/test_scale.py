@@ -37,7 +37,7 @@ def test_stacks_are_dealt_by_all_their_planes(spark, monkeypatch):
 
 
 #: Joins of pixels or of objects with each other.
-JOINED = "background_anti global_background gradient_prewitt gradient_roberts histogram_texture local_background object_crofton object_kernels object_measures object_perimeter overlap_agreement plane_select texture_scale radius_of_gyration z_mid k_nearest lbp_stats object_table derived_ratios glrlm".split()
+JOINED = "background_anti global_background gradient_prewitt gradient_roberts histogram_texture local_background object_crofton object_kernels object_measures object_perimeter overlap_agreement plane_select texture_scale radius_of_gyration z_mid k_nearest lbp_stats object_table derived_ratios glrlm intensity_focus".split()
 
 
 @pytest.mark.parametrize("name", JOINED)
@@ -54,3 +54,7 @@ def test_the_middle_plane_deals_no_pixel_again(spark):
 
 def test_runs_are_not_dealt_by_object_again(spark):
     assert "REPARTITION_BY_COL" not in plan_of(catalog.QUERIES["glrlm"](spark, SF))
+
+
+def test_points_are_not_broadcast(spark):
+    assert "BroadcastHashJoin" not in plan_of(catalog.QUERIES["neighbours_within_radius"](spark, SF))
