@@ -37,7 +37,7 @@ def test_stacks_are_dealt_by_all_their_planes(spark, monkeypatch):
 
 
 #: Joins of pixels or of objects with each other.
-JOINED = "background_anti global_background gradient_prewitt gradient_roberts histogram_texture local_background object_crofton object_kernels object_measures object_perimeter overlap_agreement plane_select texture_scale radius_of_gyration z_mid k_nearest lbp_stats object_table derived_ratios glrlm intensity_focus box_downsample dilate z_max_projection z_mean_projection dropped_union channel_means all_features focus_curves".split()
+JOINED = "background_anti global_background gradient_prewitt gradient_roberts histogram_texture local_background object_crofton object_kernels object_measures object_perimeter overlap_agreement plane_select texture_scale radius_of_gyration z_mid k_nearest lbp_stats object_table derived_ratios glrlm intensity_focus box_downsample dilate z_max_projection z_mean_projection dropped_union channel_means all_features focus_curves bilinear_zoom".split()
 
 
 @pytest.mark.parametrize("name", JOINED)
